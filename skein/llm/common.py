@@ -28,6 +28,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame) -> None:
+    """Sends Python workers at most 2,048 rows at a time where the session has Spark's default of 10,000: texts of some
+    KB would make batches of many MB in the executor and the worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "2048")
+
+
 def lower_ascii(column):
     """Lower-cases A-Z only, unlike ``lower``."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -12,6 +12,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Elements that don't end a block, whose text is never text, that are never part of an article, and that make one.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas audio video".split())
@@ -161,6 +163,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     Null and empty html, and pages without an article, give the empty text; null ids, null urls and repeated rows stay;
     an empty table gives an empty one. Columns of ``pages`` called text or n_chars are replaced.
     """
+    small_batches(pages)
     tree = tree if tree is not None else learn_tree(pages.sparkSession)
     kept = pages.select(*(F.col(c) for c in pages.columns if c not in ("text", "n_chars") or c == html_col), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     kept = kept.drop(html_col)

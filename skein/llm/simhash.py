@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_links, checkpointed, components
+from .common import bucket_links, checkpointed, components, small_batches
 
 #: Shingles hashed at a time, so that very long texts need bounded memory.
 STEP = 65_536
@@ -73,6 +73,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one node; an empty table gives an empty one.
     """
 
+    small_batches(docs)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "fp": [fingerprint(t, shingle, words) for t in frame["text"]]})

@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = "▁"
 #: Words longer than this are relaxed with a heap, one by one; characters per suffix array; words kept by a worker.
-LONG, BATCH, CACHE = 64, 400_000, 600_000
+LONG, BATCH, CACHE = 64, 150_000, 250_000
 _LOADED: dict = {}
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -38,7 +40,7 @@ class Pieces:
         n = sp.get_piece_size()
         self.byte_ids = np.zeros(256, np.int32)
         plain = []
-        self.bytes_of: list[bytes] = []
+        self.bytes_of: list[bytes] = []  # what each id decodes to
         for i in range(n):
             p = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -68,7 +70,7 @@ class Pieces:
         above = packed.copy()
         above[np.arange(packed.shape[1]) >= self.lens[:, None]] = 0xFFFF
         self.low, self.high = self.bytes_view(packed), self.bytes_view(above)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit integers
 
     def bytes_view(self, ranks: np.ndarray) -> np.ndarray:
         """Rows of ranks as byte strings that sort like them."""
@@ -176,13 +178,13 @@ class Pieces:
                     starts = [i for i, _ in symbols]
                 else:
                     s = slice(bounds[k], bounds[k + 1])
-                    ids, starts = piece[s].tolist(), start[s]
+                    ids, starts = piece[s], start[s]
                 if -1 in ids:
                     ids = list(chain.from_iterable([x] if x >= 0 else self.byte_ids[list(p[i - begin[k]].encode("utf-8", "replace"))].tolist() for x, i in zip(ids, starts)))
-                self.cache[p] = tuple(ids)
+                self.cache[p] = np.asarray(ids, np.int32).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, without begin or end."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (32-bit) of each text, without begin or end."""
         if len(self.cache) > CACHE:
             self.cache.clear()
         cut = [_CUT.split(t) if t else [] for t in (self.sp.normalize(x) for x in texts)]
@@ -190,11 +192,11 @@ class Pieces:
         if missing:
             self.encode_words(missing)
         get = self.cache.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in cut]
+        return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """The text of ids: pieces joined, byte pieces as UTF-8 (each wrong byte U+FFFD), the first space left out."""
-        made = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "each_byte")
+        made = b"".join(map(self.bytes_of.__getitem__, np.asarray(ids, np.int32).tolist())).decode("utf-8", "each_byte")
         return made[1:] if made[:1] == " " else made
 
 
@@ -211,6 +213,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     Null and empty texts have no ids and round-trip to the empty text; null ids and repeated rows stay as they are; an
     empty table gives an empty one.
     """
+    small_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,6 +235,6 @@ def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(path)
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "text": [p.decode([] if x is None else list(x)) for x in frame["ids"]]})
+            yield pd.DataFrame({"id": frame["id"], "text": [p.decode([] if x is None else x) for x in frame["ids"]]})
 
     return rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, f"id {kind}, text string").withColumnRenamed("id", id_col)

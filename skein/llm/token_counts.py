@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 #: No added token is longer than this; a start so far from a chunk's end has all its context inside the chunk.
 MARGIN = 64
 _SPACE = re.compile(r"(?<=\S) ")
 _LOADED: dict[str, object] = {}
 _COUNTS: dict[str, dict[str, int]] = {}
-_CACHE = 400_000
+_CACHE = 250_000
 
 
 def tokenizer(path: str):
@@ -96,6 +96,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     if overlap <= 2 * MARGIN or chunk <= overlap:
         raise ValueError("chunk > overlap > 2 * MARGIN is needed")
+    small_batches(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long"
 

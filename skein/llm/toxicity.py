@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_ascii
+from .common import checkpointed, lower_ascii, small_batches
 
 #: Most labelled rows of each class that the lexicon and the classifier are fitted on, and most lexicon entries.
 SAMPLE, ENTRIES = 8_000, 96
@@ -208,6 +208,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     scores; without a toxic training label every score is 0; an empty table gives an empty one. Only the text is an
     input of the score.
     """
+    small_batches(docs)
     rows = checkpointed(training_sample(docs, labels, id_col, text_col, sample))
     lexicon = mine_lexicon(rows, entries)
     m = len(lexicon) + len(PATTERNS)
