@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_ascii, small_batches
+from .common import checkpointed, small_batches
 
 #: Most labelled rows of each class that the lexicon and the classifier are fitted on, and most lexicon entries.
 SAMPLE, ENTRIES = 8_000, 96
@@ -43,7 +43,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """At most ``sample`` rows (id, text, y) of each label, the first in the order of a hash; never held-out rows."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~is_held_out(id_col)).groupBy(F.col(id_col)).agg(F.max("toxic").alias("y"))
     chosen = known.where("y = 1").orderBy(F.xxhash64(id_col)).limit(sample).union(known.where("y = 0").orderBy(F.xxhash64(id_col)).limit(sample))
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, id_col)
+    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)  # at most 2 * sample rows
 
 
 def mine_lexicon(rows: DataFrame, entries: int = ENTRIES) -> list[str]:
