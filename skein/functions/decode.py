@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,3 +121,46 @@ def percent_encode_all(c: Column) -> Column:
 def unicode_escape_all(c: Column) -> Column:
     """ASCII characters as \\u00XX."""
     return F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-8"))), "(..)", "\\\\u00$1")
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def from_code_point(n: Column) -> Column:
+    """The character of a code point; null for surrogates and beyond U+10FFFF."""
+    good = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(good, n)), 8, "0")), "UTF-32")
+
+
+def html_decode_all(c: Column) -> Column:
+    """Every named (with its semicolon), decimal and hexadecimal character reference; unknown ones stay. One pass."""
+    pattern = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    named = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")  # folded into the plan
+    number = lambda r: F.when(F.rlike(r, F.lit("^#[xX]")), F.conv(F.substring(r, 3, 6), 16, 10)).otherwise(F.substring(r, 2, 7)).cast("bigint")
+    char = lambda r: F.coalesce(F.when(F.startswith(r, F.lit("#")), from_code_point(number(r))).otherwise(F.try_element_at(named, r)), F.concat(F.lit("&"), r, F.lit(";")))
+    parts, found = F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern))
+    whole = F.array_join(F.zip_with(parts, F.transform(found, char), lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
+
+
+def string_concat(c: Column) -> tuple[Column, Column]:
+    """Adjacent quoted literals joined by ``+``, ``CONCAT`` or pipes become one; every join counts two."""
+    n, now = F.lit(0), c
+    for p in (r"'([^']*)'\s*\+\s*'([^']*)'", r"(?i)CONCAT\s*\(\s*'([^']*)'\s*,\s*'([^']*)'\s*\)", r"'([^']*)'\s*\|\|\s*'([^']*)'"):
+        n, now = n + 2 * F.regexp_count(now, F.lit(p)), F.regexp_replace(now, p, "'$1$2'")
+    return now, n
+
+
+def peeled(c: Column) -> Column:
+    """Array: the value, its URL-safe Base64 reading if there is one, and up to three percent layers of both."""
+    bare = F.trim(c)
+    shaped = F.length(bare).between(8, 8192) & F.rlike(bare, F.lit(r"^[A-Za-z0-9_+\-/]+={0,2}$"))
+    padded = F.concat(F.regexp_replace(F.translate(bare, "-_", "+/"), "=+$", ""), F.repeat(F.lit("="), F.pmod(-F.length(F.regexp_replace(bare, "=+$", "")), F.lit(4)).cast("int")))
+    read = let(F.try_to_binary(F.when(shaped, padded), F.lit("base64")), lambda raw: F.decode(F.when(F.is_valid_utf8(raw.cast("string")), raw), "UTF-8"))
+    first = F.array_compact(F.array(c, read))
+    layers = [first]
+    for _ in range(2):
+        layers.append(F.transform(layers[-1], percent_decode))
+    return F.array_distinct(F.concat(*layers))

@@ -1,19 +1,15 @@
-"""Field verdicts without models: signatures on the raw and the restored value, then rules of context."""
+"""Field verdicts: context, signatures on the raw and the restored value, and model scores where there are any."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import decode as D
+from ..functions import gates
 from ..functions import patterns as P
+from ..functions.normalize import normalize_fields
 
-
-def restore(c: Column) -> Column:
-    """One native round of decoding and structural steps."""
-    decoded = D.html_decode(D.unicode_unescape(D.percent_decode_layers(D.strip_invisible(c))[0]))
-    decoded = F.coalesce(D.base64_decode(decoded), decoded)
-    return D.squeeze_space(D.sql_comments(decoded)[0])
+LOW, HIGH = 0.05, 0.5
 
 
 def obviously_benign(name: Column, value: Column) -> Column:
@@ -22,25 +18,78 @@ def obviously_benign(name: Column, value: Column) -> Column:
     return (F.length(value) <= 256) & ~F.lower(name).isin(suspicious) & ~F.contains(value, F.lit("..")) & plain
 
 
-def detect_fields(fields: DataFrame) -> DataFrame:
-    """Adds verdict, confidence, layer and rule_hits; the first stage that decides wins."""
-    raw, restored = P.rule_hits(F.col("value")), F.col("restored")
-    df = fields.withColumn("restored", restore(F.col("value")))
-    df = df.withColumn("raw_hits", raw).withColumn("hits", P.rule_hits(restored)).withColumn("context", P.context_hits(F.col("name"), F.col("value"), F.col("location"), restored))
-    made = lambda v, c, layer, hits: F.struct(F.lit(v).alias("verdict"), F.lit(c).alias("confidence"), F.lit(layer).alias("layer"), hits.alias("rule_hits"))
+def thresholds(location: Column, low: float = LOW, high: float = HIGH) -> tuple[Column, Column]:
+    """Headers and cookies need more to be called either way."""
+    strict = location.isin("header", "cookie")
+    return F.when(strict, F.lit(min(low, 0.05))).otherwise(low), F.when(strict, F.lit(max(high, 0.95))).otherwise(high)
+
+
+def fused(features: Column, text: Column, weight: float = 0.7) -> Column:
+    """The weighted score; either alone where the other is null."""
+    return F.coalesce((1 - weight) * features + weight * text, text, features)
+
+
+def logistic(decision: Column) -> Column:
+    return 1 / (1 + F.exp(-decision))
+
+
+def detect_fields(fields: DataFrame, score: Column | None = None, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """Adds verdict, confidence, layer and rule_hits; the first stage that decides wins. ``score`` is a model's (or fused)
+    probability of an attack; where it is null or not given, what no stage decides stays uncertain."""
+    name, value, location, restored = F.col("name"), F.col("value"), F.col("location"), F.col("restored")
+    df = normalize_fields(fields if score is None else fields.withColumn("_score", score), "value", "location")
+    s = F.col("_score") if score is not None else F.lit(None).cast("double")
+    df = df.withColumn("raw_hits", P.rule_hits(value)).withColumn("coded", gates.encoded_hits(value, location))
+    df = df.withColumn("hits", P.rule_hits(restored)).withColumn("context", P.context_hits(name, value, location, restored))
+    made = lambda v, c, layer, hits: F.struct(F.lit(v).alias("verdict"), (c if isinstance(c, Column) else F.lit(c)).cast("double").alias("confidence"), F.lit(layer).alias("layer"), hits.alias("rule_hits"))
     none = F.array().cast("array<string>")
+    least, most = thresholds(location, low, high)
     decided = (
-        F.when(P.rule_verdict(F.col("value")) == "attack", made("attack", 0.99, "L1-Raw", F.col("raw_hits")))
-        .when(obviously_benign(F.col("name"), F.col("value")), made("benign", 0.999, "L0", none))
+        F.when(gates.may_be_safe_context(value) & gates.safe_context(name, value, location, restored), made("benign", 0.995, "L0-Context", none))
+        .when(P.rule_verdict(value) == "attack", made("attack", 0.99, "L1-Raw", F.col("raw_hits")))
+        .when(F.size("coded") > 0, made("attack", 0.99, "L1-Raw", F.col("coded")))
+        .when(obviously_benign(name, value), made("benign", 0.999, "L0", none))
         .when(P.rule_verdict(restored) == "attack", made("attack", 0.99, "L1", F.col("hits")))
         .when(F.size("context") > 0, made("attack", 0.99, "L1-Context", F.col("context")))
+        .when(gates.security_discussion(name, value, location, restored), made("benign", 0.995, "L0-Context", none))
+        .when(s >= most, made("attack", s, "L2+Text", F.col("hits")))
+        .when(s <= least, made("benign", 1 - s, "L2+Text", none))
+        .when(s.isNotNull(), made("benign", F.greatest(s, 1 - s), "L2+Text", F.col("hits")))
         .otherwise(made("uncertain", 0.5, "L1", F.col("hits")))
     )
     return df.withColumn("d", decided).select(*fields.columns, "d.*")
 
 
+def detect_distinct(fields: DataFrame, **options) -> DataFrame:
+    """As ``detect_fields``, every distinct (name, value, location) judged once and joined back: for logs that repeat."""
+    keys = ["name", "value", "location"]
+    judged = detect_fields(fields.select(*keys).distinct(), **options).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return fields.join(judged, same, "left").drop(*(f"_{k}" for k in keys))
+
+
 def request_verdicts(detections: DataFrame, id_col: str) -> DataFrame:
     """attack if any field is, else uncertain if any is, else benign; and the counts."""
     is_ = lambda v: F.col("verdict") == v
     counts = detections.groupBy(id_col).agg(F.count("*").alias("fields"), F.count_if(is_("attack")).alias("attacks"), F.count_if(is_("uncertain")).alias("uncertain"))
     return counts.withColumn("verdict", F.when(F.col("attacks") > 0, "attack").when(F.col("uncertain") > 0, "uncertain").otherwise("benign"))
+
+
+def threats(detections: DataFrame, id_col: str, hits: int = 5) -> DataFrame:
+    """(id, threats): the attacks of each request with place, name, confidence, layer and the first rules."""
+    one = F.struct("location", "name", "confidence", "layer", F.slice("rule_hits", 1, hits).alias("rule_hits"))
+    return detections.where("verdict = 'attack'").groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("threats"))
+
+
+def outcome(attacks: Column, failed: Column, blocking: Column, fail_closed: Column) -> Column:
+    """What a gateway does with a request: error, blocked, monitored_attack or forwarded."""
+    return F.when(failed & fail_closed, "error").when((attacks > 0) & blocking, "blocked").when(attacks > 0, "monitored_attack").otherwise("forwarded")
+
+
+def excluded(fields: DataFrame, entries: list[tuple[str, str, str]], path_col: str) -> DataFrame:
+    """``fields`` without those that an allow-list names by path, place and name; the list is a parameter, not data."""
+    listed = fields.sparkSession.createDataFrame(entries or [("", "", "")], "_path string, _place string, _name string")
+    same = (F.col(path_col) == F.col("_path")) & (F.col("location") == F.col("_place")) & (F.lower("name") == F.col("_name"))
+    return fields.join(F.broadcast(listed), same, "left_anti")

@@ -78,5 +78,99 @@ def explode_requests(df: DataFrame, id_col: str, raw_col: str) -> DataFrame:
     cookies = F.array_join(F.transform(F.filter("headers", lambda h: low(h) == "cookie"), lambda h: h["value"]), ";")
     form = F.contains(F.col("body"), F.lit("=")) & ~F.contains(F.col("body"), F.lit("{"))
     whole = F.array(F.struct(F.lit("body").alias("name"), F.col("body").alias("value"), F.lit("body").alias("location"), F.lit(0).alias("idx")))
-    body = F.when(F.col("body") == "", F.array().cast(FIELD)).when(form, query_fields(F.col("body"), "body").cast(FIELD)).otherwise(whole.cast(FIELD))
+    kind = F.array_join(F.transform(F.filter("headers", lambda h: low(h) == "content-type"), lambda h: h["value"]), ";")
+    body = F.when(F.col("body") == "", F.array().cast(FIELD)).when(F.rlike(kind, F.lit("(?i)^multipart/form-data")), multipart_fields(F.col("body"), kind)).when(form, query_fields(F.col("body"), "body").cast(FIELD)).otherwise(whole.cast(FIELD))
     return df.select(id_col, F.inline(F.concat(path_fields(path).cast(FIELD), query_fields(query_of(target)).cast(FIELD), body, header_fields(F.col("headers")).cast(FIELD), cookie_fields(cookies).cast(FIELD))))
+
+
+def multipart_fields(body: Column, content_type: Column) -> Column:
+    """Form fields of a multipart body with ``\\n`` line ends; a file gives ``<name>.filename``, its bytes are ignored."""
+    of = lambda c, p, g=1: F.regexp_extract(c, p, g)
+    edge = r'(?i)\bboundary\s*=\s*(?:"([^"]+)"|([^;\s]+))'
+    boundary = F.coalesce(F.nullif(of(content_type, edge), F.lit("")), of(content_type, edge, 2))
+    parts = F.transform(F.split(body, F.concat(F.lit("\\Q--"), boundary, F.lit("\\E"))), lambda p: F.regexp_replace(p, r"^[\r\n]+", ""))
+    parts = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: (p != "") & ~F.startswith(p, F.lit("--")) & F.contains(p, F.lit("\n\n")))
+    told = lambda p: of(F.substring_index(p, "\n\n", 1), r"(?im)^\s*content-disposition:\s*(.*?)\s*$")
+    name = lambda p: of(told(p), r'(?i)(?:^|;)\s*name="([^"]*)"')
+    file = r'(?i)(?:^|;)\s*filename="([^"]*)"'
+    parts = F.filter(parts, lambda p: F.rlike(told(p), F.lit(r"(?i)^form-data(?:;|$)")) & (name(p) != "") & (~F.rlike(told(p), F.lit(file)) | (of(told(p), file) != "")))
+    text = lambda p: F.regexp_replace(F.regexp_replace(p, r"(?s)^.*?\n\n", ""), r"[\r\n]+$", "")
+    one = lambda p, i: F.when(F.rlike(told(p), F.lit(file)), F.struct(F.concat(name(p), F.lit(".filename")).alias("name"), of(told(p), file).alias("value"), F.lit("body").alias("location"), i.alias("idx"))).otherwise(F.struct(name(p).alias("name"), text(p).alias("value"), F.lit("body").alias("location"), i.alias("idx")))
+    usable = (boundary != "") & (F.length(boundary) <= 200)
+    return F.when(usable, F.transform(parts, one)).otherwise(F.array().cast(FIELD)).cast(FIELD)
+
+
+def json_leaves(df: DataFrame, id_col: str, json_col: str, depth: int = 6) -> DataFrame:
+    """(id, name, value): every leaf of a JSON text under its path (``a.b[0]``). What lies deeper than ``depth`` levels is
+    kept as JSON text under its path; texts that aren't JSON give nothing."""
+    level = df.select(F.col(id_col), F.lit("").alias("name"), F.try_parse_json(F.col(json_col)).alias("v"))
+    is_box = F.rlike(F.schema_of_variant("v"), F.lit("^(?:OBJECT|ARRAY)"))
+    level, done = level.where("v is not null"), []
+    for _ in range(depth):
+        done.append(level.where(~is_box))
+        inner = level.where(is_box).withColumnRenamed("v", "box")
+        level = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("box").outer()))
+        path = F.when(F.col("key").isNull(), F.concat("name", F.lit("["), F.col("pos"), F.lit("]"))).when(F.col("name") == "", F.col("key")).otherwise(F.concat("name", F.lit("."), F.col("key")))
+        level = level.select(F.col(id_col), path.alias("name"), F.col("value").alias("v"))
+    leaves = done[0]
+    for d in [*done[1:], level]:
+        leaves = leaves.unionByName(d)
+    return leaves.select(id_col, "name", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"))
+
+
+def raw_request(method: Column, target: Column, host: Column, body: Column) -> Column:
+    """The canonical text of a request: upper-case method, target without origin, host, length where there is a body."""
+    head = [F.concat_ws(" ", F.upper(method), target_of(target), F.lit("HTTP/1.1")), F.concat(F.lit("Host: "), host)]
+    length = F.when(body != "", F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")))
+    return F.concat(F.concat_ws("\r\n", *head, length), F.lit("\r\n\r\n"), body)
+
+
+def input_kind(value: Column) -> Column:
+    """What an undeclared input is: request, json, query or scalar."""
+    request = F.rlike(value, F.lit(r"(?i)^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|CONNECT|TRACE|PROPFIND|PROPPATCH|MKCOL|COPY|MOVE|LOCK|UNLOCK|REPORT)\s+(.+?)\s+HTTP/\d\.\d"))
+    boxed = F.rlike(value, F.lit(r"^\s*[\[{]")) & F.try_parse_json(value).isNotNull()
+    return F.when(request, "request").when(boxed, "json").when(F.contains(value, F.lit("=")), "query").otherwise("scalar")
+
+
+def carrier(location: Column, value: Column) -> Column:
+    """struct(carrier, reason): where a value can legally travel; what a header can't hold falls back to the body."""
+    fits = ~F.rlike(value, F.lit(r"[\x00-\x1F\x7F]|[^\x00-\xFF]"))
+    told = lambda c, r=None: F.struct((F.lit(c) if isinstance(c, str) else c).alias("carrier"), (F.lit(r).cast("string") if not isinstance(r, Column) else r).alias("reason"))
+    return (
+        F.when(location.isin("query", "body", "path", "filename"), told(location))
+        .when(location.isin("header", "cookie") & fits, told(location))
+        .when(location.isin("header", "cookie"), told("body_fallback", F.concat(location, F.lit(" value is not representable as one valid HTTP/1.1 field"))))
+        .otherwise(told("body_fallback", F.concat(F.lit("unsupported field location: "), location)))
+    )
+
+
+def framing_flags(raw: Column) -> Column:
+    """Names of ambiguities in how a raw request frames its body."""
+    n = lambda p: F.regexp_count(raw, F.lit(p))
+    named = [
+        ("CL_TE_ambiguity", (n(r"(?i)content-length:") > 0) & (n(r"(?i)transfer-encoding:") > 0)),
+        ("duplicate_content_length", n(r"(?i)content-length:") > 1),
+        ("unsupported_transfer_encoding", F.rlike(raw, F.lit(r"(?im)^transfer-encoding:[ \t]*+(?!chunked[ \t]*\r?$)\S"))),
+        ("invalid_content_length", F.rlike(raw, F.lit(r"(?im)^content-length:[ \t]*+(?!\d+[ \t]*\r?$)"))),
+    ]
+    return F.array_compact(F.array(*(F.when(test, F.lit(k)) for k, test in named)))
+
+
+def ipv4(c: Column) -> Column:
+    """An IPv4 address as a number; null for anything else."""
+    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    good = F.rlike(c, F.lit(rf"^{octet}\.{octet}\.{octet}\.{octet}$"))
+    return F.when(good, F.aggregate(F.split(c, r"\."), F.lit(0).cast("bigint"), lambda a, x: a * 256 + x.cast("bigint")))
+
+
+def effective_client(peer: Column, forwarded: Column, trusted: list[str]) -> Column:
+    """The client behind trusted proxies: forwarded hops from right to left until one isn't trusted; a bad one gives the peer."""
+    import ipaddress
+
+    nets = [ipaddress.ip_network(c, strict=False) for c in trusted]
+    ranges = F.array(*(F.struct(F.lit(int(x.network_address)).cast("bigint").alias("lo"), F.lit(int(x.broadcast_address)).cast("bigint").alias("hi")) for x in nets if x.version == 4))
+    inside = lambda a: F.exists(ranges, lambda r: ipv4(a).between(r["lo"], r["hi"])) if nets else F.lit(False)
+    hops = F.reverse(F.transform(F.split(forwarded, ","), lambda h: F.trim(h)))
+    stop = F.get(F.filter(hops, lambda h: ~F.coalesce(inside(h), F.lit(False))), F.lit(0))
+    found = F.when(stop.isNull(), F.get(hops, F.size(hops) - 1)).when(ipv4(stop).isNull(), peer).otherwise(stop)
+    return F.when(F.coalesce(forwarded, F.lit("")) == "", peer).when(~F.coalesce(inside(peer), F.lit(False)), peer).otherwise(found)

@@ -1,0 +1 @@
+from . import queries, detection  # noqa: F401, I001 - registers the queries
