@@ -1 +1 @@
-from . import queries, detection  # noqa: F401, I001 - registers the queries
+from . import queries, detection, corpus  # noqa: F401, I001 - registers the queries

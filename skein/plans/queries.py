@@ -385,10 +385,10 @@ def d_quota_sample(spark, d):
     return curate.quota_sample(t(spark, d, "documents"), ["lang", "source"], 5, F.col("doc_id").cast("string")).select("doc_id", "lang", "source")
 
 
-@query("with c as (select source, count(*) as n from documents group by source) select source, n, least(n, 30) as cap_30, case when n <= 20 then n else least(n, cast(round_even(sqrt(n * 30), 0) as bigint)) end as sqrt_30 from c")
+@query("with c as (select source, count(*) as n from documents group by source) select source, n, case when n <= 20 then n else least(n, 30) end as cap_30, case when n <= 20 then n else least(n, greatest(20, cast(round_even(sqrt(n * 20), 0) as bigint))) end as sqrt, case when n <= 20 then n else least(n, greatest(20, cast(round_even(20 * (1 + log2(n / 20)), 0) as bigint))) end as log from c")
 def d_class_caps(spark, d):
     c = t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return c.select("source", "n", curate.class_cap(F.col("n"), "cap", 30).alias("cap_30"), curate.class_cap(F.col("n"), "sqrt", 30).alias("sqrt_30"))
+    return c.select("source", "n", *(curate.class_cap(F.col("n"), p).alias(p) for p in ("cap_30", "sqrt", "log")))
 
 
 @query("with s as (select sha256(text) as h, case when doc_id % 4 = 0 then 'test' else 'train' end as split from documents) select h, count(distinct split) as splits from s group by h having count(distinct split) > 1")

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators import cascade, fields
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
@@ -43,3 +48,42 @@ def counters(events: DataFrame) -> DataFrame:
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     s = events.withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", gap))
     return s.agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("began"), "n")
+
+
+def scanner_stream(events: DataFrame, seconds: int = 172_800, probe: str = "error", target: str = "signup") -> DataFrame:
+    """(event_id, score) for every event: a client's sliding window kept as state, events of a batch taken in event time.
+
+    State holds the window's events only, (time, kind, value) of each, and goes when the watermark has passed the window.
+    Events that come later than the watermark allows are dropped by Spark before they get here.
+    """
+    points = lambda kinds, values: 2 * (len(set(values)) >= 8 and len(kinds) >= 8) + (len(kinds) >= 25) + (4 if kinds.count(probe) >= 2 else kinds.count(probe)) + (3 if kinds.count(target) >= 2 else kinds.count(target))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, kinds, values = map(list, state.get) if state.exists else ([], [], [])
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        ids, scores = [], []
+        for e in rows.itertuples():
+            now = e.ts.value // 1000
+            gone = next((i for i, t in enumerate(at) if t >= now - seconds * 1_000_000), len(at))
+            at, kinds, values = at[gone:] + [now], kinds[gone:] + [e.event_type], values[gone:] + [e.value]
+            ids.append(e.event_id)
+            scores.append(int(points(kinds, values)))
+        state.update((at, kinds, values))
+        state.setTimeoutTimestamp(max(at[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": ids, "score": scores})
+
+    rows = events.select("event_id", "user_id", "ts", "event_type", "value").withWatermark("ts", "1 hour")
+    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, score int", "at array<long>, kinds array<string>, vals array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/pages.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/pages.parquet*")
+
+
+def detection_stream(pages: DataFrame) -> DataFrame:
+    """Requests to fields to verdicts, row by row; the sink is the detection log."""
+    return cascade.detect_fields(fields.explode_urls(pages, "page_id", "url"))
