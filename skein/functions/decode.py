@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def _quoted(text: str) -> str:
+    for char, code in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\t", "\\t")):
+        text = text.replace(char, code)
+    return f"'{text}'"
+
+
+#: The standard library's table of character references as one map literal.
+_NAMED = "map(" + ", ".join(f"{_quoted(k[:-1])}, {_quoted(v)}" for k, v in html5.items() if k.endswith(";")) + ")"
 _PRINTABLE = r"[\x20-\x7E\t\n\r]"
 
 
@@ -137,11 +144,11 @@ def from_code_point(n: Column) -> Column:
 def html_decode_all(c: Column) -> Column:
     """Every named (with its semicolon), decimal and hexadecimal character reference; unknown ones stay. One pass."""
     pattern = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-    named = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")  # folded into the plan
     number = lambda r: F.when(F.rlike(r, F.lit("^#[xX]")), F.conv(F.substring(r, 3, 6), 16, 10)).otherwise(F.substring(r, 2, 7)).cast("bigint")
-    char = lambda r: F.coalesce(F.when(F.startswith(r, F.lit("#")), from_code_point(number(r))).otherwise(F.try_element_at(named, r)), F.concat(F.lit("&"), r, F.lit(";")))
+    char = lambda r, named: F.coalesce(F.when(F.startswith(r, F.lit("#")), from_code_point(number(r))).otherwise(F.try_element_at(named, r)), F.concat(F.lit("&"), r, F.lit(";")))
     parts, found = F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern))
-    whole = F.array_join(F.zip_with(parts, F.transform(found, char), lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+    chars = let(F.expr(_NAMED), lambda named: F.transform(found, lambda r: char(r, named)))
+    whole = F.array_join(F.zip_with(parts, chars, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
     return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 
