@@ -107,8 +107,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose near-duplicates have a smaller id. Of repeated rows of one id, one stays, by
-    source and text; rows without an id stay unless their fingerprint is in a group with one."""
+    """``docs`` without the rows whose near-duplicates have a smaller id. Of repeated rows of one id, the one of the
+    smallest hash over all columns (maps left out) stays, so reruns agree. Rows without an id can't be matched and all
+    stay; an empty table gives an empty one."""
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    left = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
+    hashed = F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    first = left.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), hashed).alias("_row")).select("_row.*")
+    return first.unionByName(docs.where(F.col(id_col).isNull()))
