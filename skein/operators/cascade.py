@@ -57,7 +57,8 @@ def detect_fields(fields: DataFrame, score: Column | None = None, low: float = L
         .when(s.isNotNull(), made("benign", F.greatest(s, 1 - s), "L2+Text", F.col("hits")))
         .otherwise(made("uncertain", 0.5, "L1", F.col("hits")))
     )
-    return df.withColumn("d", decided).select(*fields.columns, "d.*")
+    # unpacked by a generator: a filter on the verdict then stays above it, and isn't pushed down as the whole expression
+    return df.withColumn("d", decided).select(*fields.columns, F.inline(F.array("d")))
 
 
 def detect_distinct(fields: DataFrame, **options) -> DataFrame:
