@@ -2,7 +2,8 @@
 its posterior labels.
 
 1. A bounded sample of labelled training rows gives the lexicon: words and word beginnings that toxic rows have and
-   others don't. Each entry is a voter; a few patterns of layout and punctuation are voters too.
+   others don't. Each entry is a voter; a few patterns of layout and punctuation are voters too. The prior of the
+   classes is counted over all training labels, as the sample is bounded by class.
 2. One pass over all documents finds each voter's hits.
 3. First and second moments of the votes over all documents give the voters' accuracies by triplets, without labels:
    under independence the covariance of two voters is the product of what they know about the class. Pairs whose
@@ -39,9 +40,20 @@ def is_held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def training_labels(labels: DataFrame, id_col: str) -> DataFrame:
+    """(id, y) of every labelled id that isn't held out."""
+    return labels.where(F.col("toxic").isin(0, 1) & ~is_held_out(id_col)).groupBy(F.col(id_col)).agg(F.max("toxic").alias("y"))
+
+
+def toxic_share(labels: DataFrame, id_col: str) -> float:
+    """The share of toxic ones among all training labels, with one label of each class added."""
+    n = training_labels(labels, id_col).agg(F.count("*").alias("all"), F.count_if(F.col("y") == 1).alias("toxic")).first()
+    return (n["toxic"] + 1) / (n["all"] + 2)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
     """At most ``sample`` rows (id, text, y) of each label, the first in the order of a hash; never held-out rows."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~is_held_out(id_col)).groupBy(F.col(id_col)).agg(F.max("toxic").alias("y"))
+    known = training_labels(labels, id_col)
     chosen = known.where("y = 1").orderBy(F.xxhash64(id_col)).limit(sample).union(known.where("y = 0").orderBy(F.xxhash64(id_col)).limit(sample))
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)  # at most 2 * sample rows
 
@@ -141,16 +153,17 @@ def moments(votes: DataFrame, m: int) -> tuple[int, np.ndarray]:
     return rows, c
 
 
-def label_model(n: int, both: np.ndarray, seen: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+def label_model(n: int, both: np.ndarray, seen: np.ndarray, y: np.ndarray, share: float) -> tuple[float, np.ndarray, np.ndarray]:
     """Prior log-odds, and each voter's weight when it speaks and when it doesn't (log-likelihood ratios).
 
-    ``both`` / ``n`` are the moments over all documents; ``seen`` (rows x voters) with gold labels ``y`` anchors which
-    class a voter speaks for, and stands in where fewer than three triplets say anything.
+    ``both`` / ``n`` are the moments over all documents and ``share`` the toxic share over all training labels; ``seen``
+    (rows x voters) with gold labels ``y``, a sample capped by class, anchors which class a voter speaks for, and stands
+    in where fewer than three triplets say anything.
     """
     m = len(both)
     rate = np.diag(both) / max(n, 1)
     cov = both / max(n, 1) - np.outer(rate, rate)
-    prior = min(max((y.sum() + 1) / (len(y) + 2), 0.01), 0.5)
+    prior = min(max(share, 0.01), 0.5)
     a = (seen[y == 1].sum(0) + 0.2) / ((y == 1).sum() + 1)
     b = (seen[y == 0].sum(0) + 0.02) / ((y == 0).sum() + 1)
     knows = (a - b) * np.sqrt(prior * (1 - prior))
@@ -164,8 +177,8 @@ def label_model(n: int, both: np.ndarray, seen: np.ndarray, y: np.ndarray) -> tu
     sd = np.sqrt(np.clip(rate * (1 - rate), 1e-12, None))
     extra = (cov - np.outer(knows, knows)) / np.outer(sd, sd)  # what the class doesn't explain: correlation of voters
     np.fill_diagonal(extra, 0)
-    share = 1 / (1 + np.where(np.abs(extra) > 0.1, np.abs(extra), 0).sum(1))
-    return float(np.log(prior / (1 - prior))), share * np.log(a / b), share * np.log((1 - a) / (1 - b))
+    alone = 1 / (1 + np.where(np.abs(extra) > 0.1, np.abs(extra), 0).sum(1))
+    return float(np.log(prior / (1 - prior))), alone * np.log(a / b), alone * np.log((1 - a) / (1 - b))
 
 
 def posterior(seen: np.ndarray, model: tuple[float, np.ndarray, np.ndarray], y: np.ndarray | None = None, trust: float = 0.98) -> np.ndarray:
@@ -219,7 +232,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         y = gold["y"].to_numpy()
         x = features(gold["voters"], gold["uses"], gold["n_chars"], m)
         seen = (x[:, :m] > 0).astype(float)
-        w, bias = fit_linear(x, posterior(seen, label_model(n, both, seen, y), y))
+        w, bias = fit_linear(x, posterior(seen, label_model(n, both, seen, y, toxic_share(labels, id_col)), y))
     else:
         w, bias = np.zeros(m + 2), -30.0
 
