@@ -74,9 +74,11 @@ def html_decode(c: Column) -> Column:
 
 
 def unicode_unescape(c: Column) -> Column:
-    """``\\uXXXX`` to characters: the parts between escapes, zipped with the decoded escapes."""
-    parts, found = F.split(c, r"\\u[0-9A-Fa-f]{4}"), F.regexp_extract_all(c, F.lit(r"\\u([0-9A-Fa-f]{4})"))
-    chars = F.transform(found, lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32"))
+    """``\\uXXXX`` to characters, two units of a surrogate pair to one: the parts between escapes, zipped with the
+    decoded escapes."""
+    escape = r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}"
+    parts, found = F.split(c, escape), F.regexp_extract_all(c, F.lit(f"({escape})"))
+    chars = F.transform(found, lambda h: F.when(F.length(h) == 12, F.decode(F.unhex(F.replace(h, F.lit("\\u"), F.lit(""))), "UTF-16BE")).otherwise(F.decode(F.unhex(F.lpad(F.substring(h, 3, 4), 8, "0")), "UTF-32")))
     return F.array_join(F.zip_with(parts, chars, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
 
 
@@ -126,8 +128,8 @@ def percent_encode_all(c: Column) -> Column:
 
 
 def unicode_escape_all(c: Column) -> Column:
-    """ASCII characters as \\u00XX."""
-    return F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-8"))), "(..)", "\\\\u00$1")
+    """Every UTF-16 unit as \\uXXXX, so characters beyond U+FFFF as two."""
+    return F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(....)", "\\\\u$1")
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
