@@ -1,22 +1,22 @@
 """Toxicity by weak supervision: a generative label model over lexicon and pattern voters, and a linear classifier on
 its posterior labels.
 
-1. A bounded sample of labelled training rows gives the lexicon: words and word beginnings that toxic rows have and
-   others don't. Each entry is a voter; a few patterns of layout and punctuation are voters too. The prior of the
-   classes is counted over all training labels, as the sample is bounded by class.
-2. One pass over all documents finds each voter's hits.
-3. First and second moments of the votes over all documents give the voters' accuracies by triplets, without labels:
-   under independence the covariance of two voters is the product of what they know about the class. Pairs whose
-   covariance is off that product are correlated, and share their weight. Gold labels are one more voter where they
-   exist.
-4. A logistic regression on the voters' counts learns the label model's posterior on the sample.
+1. A bounded sample of labelled training rows gives the lexicon: words and word beginnings that toxic rows have more often
+   than others, each with the uses and the density from which it speaks. Each entry is a voter for toxic; a few patterns
+   of layout and punctuation are voters for the class that has them more often in the sample. This is all that gold labels
+   are used for, but for the prior of the classes, which is counted over all training labels.
+2. One pass over all documents finds each voter's hits. Rows with equal votes are counted together.
+3. How often voters speak together over all documents gives their accuracies by triplets, without labels: given the class
+   two voters are independent, so that their covariance is the product of what they know about it. A silent voter
+   abstains. Pairs that speak together more often than the posterior classes explain are correlated, and share their
+   weight where both speak.
+4. A logistic regression on votes and uses learns the posterior on a bounded sample of documents, labelled or not.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import ahocorasick
 import numpy as np
@@ -26,10 +26,17 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches
 
-#: Most labelled rows of each class that the lexicon and the classifier are fitted on, and most lexicon entries.
+#: Most labelled rows of each class that the lexicon is mined from, half as many as documents that the classifier is
+#: fitted on, and most lexicon entries.
 SAMPLE, ENTRIES = 8_000, 96
-#: Fewest characters of a word beginning, and most.
-STEMS = (4, 5, 6)
+#: Characters of word beginnings.
+STEMS = (4, 5, 6, 7, 8)
+#: An entry's statistic must pass this many times the logarithm of the number of entries and thresholds looked at.
+LIMIT = 2.0
+#: Uses in a text, and uses per 1,000 characters, from which an entry may speak; the sample chooses for each entry.
+LEAST_USES, LEAST_RATES = (1, 2, 3), (0.0, 0.5, 1.0, 2.0, 4.0)
+#: Accuracy of a voter that too few triplets say anything about, and how many are enough.
+START, TRIPLETS = 0.8, 3
 #: Pattern voters: name, pattern, hits per 1,000 characters from which they vote.
 PATTERNS = [("shouting", r"\b[A-Z]{4,}\b", 5.0), ("exclaiming", r"!{2,}", 2.0), ("addressing", r"(?i)\byou(?:r|'re)?\b", 8.0)]
 _NOT_WORD = re.compile(r"[^\w]|[\d_]")
@@ -51,6 +58,15 @@ def toxic_share(labels: DataFrame, id_col: str) -> float:
     return (n["toxic"] + 1) / (n["all"] + 2)
 
 
+def g2(p, n, n1: float, n0: float):
+    """The log-likelihood ratio statistic of p of n1 toxic and n of n0 other rows having an entry."""
+    term = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+    p, n = np.asarray(p, float), np.asarray(n, float)
+    s, has = n1 / (n1 + n0), p + n
+    lacks = n1 + n0 - has
+    return 2 * (term(p, has * s) + term(n, has * (1 - s)) + term(n1 - p, lacks * s) + term(n0 - n, lacks * (1 - s)))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
     """At most ``sample`` rows (id, text, y) of each label, the first in the order of a hash; never held-out rows."""
     known = training_labels(labels, id_col)
@@ -58,28 +74,64 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)  # at most 2 * sample rows
 
 
-def mine_lexicon(rows: DataFrame, entries: int = ENTRIES) -> list[str]:
-    """Words (``=word``) and word beginnings (``stem``) whose share among toxic rows is far above that among others.
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """(text, y): of the sample's rows of one class whose words of 8 letters or more have the same smallest hash, one:
+    near copies are no independent evidence for what they all contain."""
+    long = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 8)
+    least = F.coalesce(F.array_min(F.transform(long, lambda w: F.xxhash64(w))), F.xxhash64("text"))
+    return rows.groupBy("y", least.alias("least")).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y")
+
 
-    Counts documents, not uses. An entry that adds no toxic row to what better ones cover is left out, so that word
-    beginnings stand for all their words.
+def mine_lexicon(rows: DataFrame, entries: int = ENTRIES) -> tuple[list[str], int]:
+    """Words (``=word``) and word beginnings (``stem``) that toxic rows have more often than others, best first, eight
+    times ``entries`` at most; and how many entries three toxic rows or more have.
+
+    Counts documents, not uses.
     """
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     stems = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= min(STEMS)), lambda w: F.array(F.concat(F.lit("="), w), *(F.substring(w, 1, n) for n in STEMS))))
-    counts = rows.select("y", F.explode(F.array_distinct(stems)).alias("e")).where(F.length("e") >= min(STEMS)).groupBy("e").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    n1, n0 = (rows.where(f"y = {y}").count() for y in (1, 0))
+    counts = rows.select("y", F.explode(F.array_distinct(stems)).alias("e")).groupBy("e").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).where("p >= 3")
+    by = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    n1, n0 = by.get(1, 0), by.get(0, 0)
     if not n1:
-        return []
-    p, n = (F.col("p") + 0.5) / (n1 + 1), (F.col("n") + 0.5) / (n0 + 1)
-    found = counts.where((F.col("p") >= 3) & (p > 8 * n)).withColumn("score", (p - n) * F.log(p / n)).orderBy(F.desc("score"), "e").limit(8 * entries).collect()
-    chosen: list[str] = []
-    for e in (r["e"] for r in found):
+        return [], 0
+    counts = checkpointed(counts)
+    s = n1 / (n1 + n0)
+    term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    has = F.col("p") + F.col("n")
+    lacks = F.lit(n1 + n0) - has
+    score = 2 * (term(F.col("p"), has * s) + term(F.col("n"), has * (1 - s)) + term(F.lit(n1) - F.col("p"), lacks * s) + term(F.lit(n0) - F.col("n"), lacks * (1 - s)))
+    found = counts.where(F.col("p") * n0 > 1.5 * F.col("n") * n1).orderBy(score.desc(), "e").limit(8 * entries).collect()
+    return [r["e"] for r in found], counts.count()
+
+
+def tuned_voters(found: list[str], looked: int, gold: pd.DataFrame, entries: int) -> list[tuple[str, int, float]]:
+    """(entry, uses, rate) of the chosen entries: for each the thresholds that tell the sample's classes apart best.
+
+    Best first, an entry is taken if its statistic is beyond chance (``LIMIT``) for the number of entries that three toxic
+    rows use that often, of ``looked`` in all; if its share among toxic rows is 8 times that among
+    others, and neither it nor a chosen one is the beginning of the other.
+    """
+    toxic = gold["y"].to_numpy() == 1
+    n1, n0, chars = toxic.sum(), (~toxic).sum(), np.maximum(gold["n_chars"].to_numpy(), 1)
+    row = np.repeat(np.arange(len(gold)), gold["voters"].str.len())
+    voter, uses = (np.concatenate([np.empty(0, int), *gold[c]]).astype(int) for c in ("voters", "uses"))
+    best: dict[int, tuple] = {}
+    for u in LEAST_USES:
+        for rate in LEAST_RATES:
+            on = (uses >= u) & (1000 * uses >= rate * chars[row]) & (voter < len(found))
+            p, n = (np.bincount(voter[on & (toxic[row] == c)], minlength=len(found)) for c in (True, False))
+            limit = LIMIT * np.log(max((p + n >= 3).sum() * looked / max(len(found), 1), 1) * len(LEAST_USES) * len(LEAST_RATES))
+            score = np.where((p >= 3) & ((p + 0.5) / (n1 + 1) > 8 * (n + 0.5) / (n0 + 1)), g2(p, n, n1, n0), 0)
+            for k in np.flatnonzero(score >= limit):
+                if score[k] > best.get(k, (0,))[0] + 1e-9:
+                    best[k] = (score[k], found[k], u, rate)
+    chosen: list[tuple[str, int, float]] = []
+    for _, e, u, rate in sorted(best.values(), key=lambda x: (-x[0], x[1])):
         bare = e.lstrip("=")
-        if not any(bare.startswith(c.lstrip("=")) and not c.startswith("=") or bare == c.lstrip("=") for c in chosen):
-            # a shorter beginning that scores lower stands for words already chosen; it stays out unless it is a new one
-            if not any(c.lstrip("=").startswith(bare) for c in chosen if c.startswith("=")) or e.startswith("="):
-                chosen.append(e)
-    return chosen[:entries]
+        if len(chosen) < entries and not any(bare.startswith(c) or c.startswith(bare) for c in (x[0].lstrip("=") for x in chosen)):
+            chosen.append((e, u, rate))
+    return chosen
 
 
 def automaton(lexicon: list[str]):
@@ -109,9 +161,11 @@ def hits(text: str, lexicon: list[str], a) -> dict[int, int]:
     return found
 
 
-def find_votes(docs: DataFrame, lexicon: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, n_chars, voters array<int>, uses array<int>): the voters that speak on each whole text, and how often."""
+def find_votes(docs: DataFrame, lexicon: list[str], id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_chars, voters array<int>, uses array<int>, *keep): entries and patterns found in each whole text, and how
+    often; a pattern only where it is dense enough."""
     kind = docs.schema[id_col].dataType.simpleString()
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, patterns = automaton(lexicon), [(re.compile(p), rate) for _, p, rate in PATTERNS]
@@ -125,78 +179,116 @@ def find_votes(docs: DataFrame, lexicon: list[str], id_col: str, text_col: str)
                         found[len(lexicon) + k] = n
                 voters.append(sorted(found))
                 uses.append([found[i] for i in sorted(found)])
-            yield pd.DataFrame({"id": frame["id"], "n_chars": frame["text"].str.len(), "voters": voters, "uses": uses})
+            yield pd.DataFrame({"id": frame["id"], "n_chars": frame["text"].str.len(), "voters": voters, "uses": uses} | {c: frame[c] for c in keep})
+
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep).mapInPandas(run, f"id {kind}, n_chars long, voters array<int>, uses array<int>{more}")
+
+
+def speaking(voters: list[tuple[str, int, float]]):
+    """Column of the voters that speak: those of enough uses and density; patterns speak wherever they are found."""
+    uses, rates = (F.array(*(F.lit(x[k]) for x in voters), *(F.lit(z) for _ in PATTERNS)) for k, z in ((1, 1), (2, 0.0)))
+    on = lambda v, u: (u >= F.get(uses, v)) & (1000.0 * u >= F.get(rates, v) * F.col("n_chars"))
+    return F.filter(F.zip_with("voters", "uses", lambda v, u: F.when(on(v, u), v)), lambda v: v.isNotNull())
+
+
+def votes_matrix(speak, m: int) -> np.ndarray:
+    """Rows by voters: 1 where one speaks."""
+    x = np.zeros((len(speak), m))
+    x[np.repeat(np.arange(len(speak)), [len(v) for v in speak]), np.concatenate([np.empty(0, int), *speak]).astype(int)] = 1
+    return x
+
 
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, f"id {kind}, n_chars long, voters array<int>, uses array<int>")
+def posterior(x: np.ndarray, prior: float, weight: np.ndarray, shared: np.ndarray | None = None) -> np.ndarray:
+    """P(toxic | votes): prior log-odds plus the weights of those that speak. Of correlated voters (``shared``, voters by
+    voters) that speak together each counts for less: two that always do, for half."""
+    z = x @ weight if shared is None else (x / (1 + x @ shared)) @ weight
+    return 1 / (1 + np.exp(-np.clip(prior + z, -30, 30)))
 
 
-def moments(votes: DataFrame, m: int) -> tuple[int, np.ndarray]:
-    """Rows, and how many have both of two voters, over all documents: an m x m table, summed in tasks first."""
+def _summed(patterns: DataFrame, f) -> dict[tuple[int, int], float]:
+    """Adds up the cells {(i, j): value} that ``f`` makes of each batch, in tasks first."""
 
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = np.zeros((m, m), np.int64)
-        n = 0
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], float] = {}
         for frame in frames:
-            n += len(frame)
-            for v in frame["voters"]:
-                if len(v):
-                    c[np.ix_(v, v)] += 1
-        i, j = np.nonzero(c)
-        yield pd.DataFrame({"i": np.r_[i, -1], "j": np.r_[j, -1], "n": np.r_[c[i, j], n]})
-
-    c, rows = np.zeros((m, m)), 0
-    for r in votes.select("voters").mapInPandas(add, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
-        if r["i"] < 0:
-            rows = r["n"]
-        else:
-            c[r["i"], r["j"]] = r["n"]
-    return rows, c
-
-
-def label_model(n: int, both: np.ndarray, seen: np.ndarray, y: np.ndarray, share: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Prior log-odds, and each voter's weight when it speaks and when it doesn't (log-likelihood ratios).
-
-    ``both`` / ``n`` are the moments over all documents and ``share`` the toxic share over all training labels; ``seen``
-    (rows x voters) with gold labels ``y``, a sample capped by class, anchors which class a voter speaks for, and stands
-    in where fewer than three triplets say anything.
-    """
-    m = len(both)
-    rate = np.diag(both) / max(n, 1)
+            for k, v in f(frame).items():
+                total[k] = total.get(k, 0.0) + v
+        yield pd.DataFrame([(i, j, v) for (i, j), v in total.items()], columns=["i", "j", "v"])
+
+    return {(r["i"], r["j"]): r["v"] for r in patterns.mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()}
+
+
+def weights_of(accuracy: np.ndarray, prior: float) -> np.ndarray:
+    """What a vote adds to the log-odds."""
+    return np.clip(np.log(accuracy / (1 - accuracy)) - prior, -8, 8)
+
+
+def triplet_accuracies(n: float, both: np.ndarray, share: float, toward: np.ndarray) -> np.ndarray:
+    """P(toxic | a voter speaks) from ``both``, in how many of n rows each pair speaks, and the share of toxic rows."""
+    m, rate = len(both), np.diag(both) / max(n, 1)
     cov = both / max(n, 1) - np.outer(rate, rate)
-    prior = min(max(share, 0.01), 0.5)
-    a = (seen[y == 1].sum(0) + 0.2) / ((y == 1).sum() + 1)
-    b = (seen[y == 0].sum(0) + 0.02) / ((y == 0).sum() + 1)
-    knows = (a - b) * np.sqrt(prior * (1 - prior))
+    sure = n * cov >= 5 + 4 * np.sqrt(n * np.outer(rate, rate))  # beyond chance
+    accuracy = np.where(toward == 1, START, share * (1 - START))
     for i in range(m):
-        triplets = [cov[i, j] * cov[i, k] / cov[j, k] for j, k in combinations([x for x in range(m) if x != i], 2) if cov[j, k] > 1e-9 and cov[i, j] > 0 and cov[i, k] > 0]
-        if len(triplets) >= 3:
-            knows[i] = 0.5 * knows[i] + 0.5 * np.sign(knows[i]) * np.sqrt(np.median(triplets))
-    spread = np.clip(knows / np.sqrt(prior * (1 - prior)), -0.99, 0.99)
-    b = np.clip(rate - prior * spread, 1e-5, 0.999)
-    a = np.clip(b + spread, 1e-5, 0.999)
-    sd = np.sqrt(np.clip(rate * (1 - rate), 1e-12, None))
-    extra = (cov - np.outer(knows, knows)) / np.outer(sd, sd)  # what the class doesn't explain: correlation of voters
-    np.fill_diagonal(extra, 0)
-    alone = 1 / (1 + np.where(np.abs(extra) > 0.1, np.abs(extra), 0).sum(1))
-    return float(np.log(prior / (1 - prior))), alone * np.log(a / b), alone * np.log((1 - a) / (1 - b))
+        with_i = np.flatnonzero(sure[i] & (np.arange(m) != i))
+        j, k = (with_i[x] for x in np.triu_indices(len(with_i), 1))
+        ok = sure[j, k]
+        knows = cov[i, j[ok]] * cov[i, k[ok]] / cov[j[ok], k[ok]]
+        if len(knows) >= TRIPLETS:
+            accuracy[i] = share + np.sqrt(share * (1 - share) * np.median(knows)) / rate[i] * (1 if toward[i] else -1)
+    return np.clip(accuracy, 1e-4, 1 - 1e-4)
+
 
+def label_model(patterns: DataFrame, share: float, toward: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Prior log-odds, each voter's accuracy and weight, and the correlations of voters beyond their classes.
 
-def posterior(seen: np.ndarray, model: tuple[float, np.ndarray, np.ndarray], y: np.ndarray | None = None, trust: float = 0.98) -> np.ndarray:
-    """P(toxic | votes), gold labels being one more voter of accuracy ``trust``."""
-    prior, speaks, silent = model
-    z = prior + seen @ speaks + (1 - seen) @ silent
-    if y is not None:
-        z = z + np.where(y == 1, 1, -1) * np.log(trust / (1 - trust))
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    ``patterns(speak array<int>, n)`` counts the rows of each set of votes, over all documents; ``share`` is the prior of
+    toxic ones; ``toward`` (1 or 0 a voter) only says which class a voter speaks for. No labels are read.
+    """
+    m = len(toward)
+    prior = float(np.log(share / (1 - share)))
+
+    def together(frame: pd.DataFrame) -> dict:
+        x, n = votes_matrix(frame["speak"], m), frame["n"].to_numpy(float)
+        both = (x * n[:, None]).T @ x
+        return {(-1, -1): float(n.sum())} | {(int(i), int(j)): float(both[i, j]) for i, j in np.argwhere(both > 0)}
+
+    got = _summed(patterns, together)
+    accuracy = triplet_accuracies(got.get((-1, -1), 0.0), np.array([[got.get((i, j), 0.0) for j in range(m)] for i in range(m)]), share, toward)
+    weight = weights_of(accuracy, prior)
+
+    def pairs(frame: pd.DataFrame) -> dict:
+        x, n = votes_matrix(frame["speak"], m), frame["n"].to_numpy(float)
+        q = posterior(x, prior, weight)
+        cells: dict[tuple[int, int], float] = {(-1, 1): float((n * q).sum()), (-1, 0): float((n * (1 - q)).sum())}
+        for c, w in ((1, n * q), (0, n * (1 - q))):
+            both = (x * w[:, None]).T @ x
+            for i, j in np.argwhere(both > 0):
+                cells[(int(i), int(c * m + j))] = cells.get((int(i), int(c * m + j)), 0.0) + float(both[i, j])
+        return cells
+
+    got, extra = _summed(patterns, pairs), np.zeros((m, m))
+    for c in (1, 0):
+        n = max(got.get((-1, c), 0.0), 1e-9)
+        both = np.array([[got.get((i, c * m + j), 0.0) for j in range(m)] for i in range(m)]) / n
+        rate = np.diag(both)
+        alone = np.outer(rate, rate)
+        rho = (both - alone) / np.sqrt(np.maximum(np.outer(rate * (1 - rate), rate * (1 - rate)), 1e-24))
+        sure = n * (both - alone) >= 5 + 4 * np.sqrt(n * alone)  # beyond chance
+        extra = np.maximum(extra, np.where(sure & (rho > 0.1), rho, 0.0))
+    np.fill_diagonal(extra, 0)
+    return prior, accuracy, weight, extra
 
 
-def features(voters, uses, n_chars, m: int) -> np.ndarray:
-    x = np.zeros((len(voters), m + 2))
-    for r, (v, u, n) in enumerate(zip(voters, uses, n_chars)):
+def features(voters, uses, speak, n_chars, m: int) -> np.ndarray:
+    """Votes, logarithms of uses, and all lexical uses together: their logarithm and their density."""
+    x = np.zeros((len(voters), 2 * m + 2))
+    for r, (v, u, s, n) in enumerate(zip(voters, uses, speak, n_chars)):
         if len(v):
-            x[r, v] = np.log1p(u)
-            lexical = [c for i, c in zip(v, u) if i < m - len(PATTERNS)]
-            x[r, m], x[r, m + 1] = np.log1p(sum(lexical)), min(1.0, 50 * sum(lexical) / max(n, 1))
+            x[r, s] = 1
+            x[r, m + np.asarray(v)] = np.log1p(u)
+            lexical = sum(c for i, c in zip(v, u) if i < m - len(PATTERNS))
+            x[r, -2], x[r, -1] = np.log1p(lexical), min(1.0, 50 * lexical / max(n, 1))
     return x
 
 
@@ -218,28 +310,32 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(id, held_out, score, predicted, n_voters) for every row of ``docs``.
 
     Null and empty texts are scored as texts without words; a null id is never held out; repeated rows get equal
-    scores; without a toxic training label every score is 0; an empty table gives an empty one. Only the text is an
-    input of the score.
+    scores; without an entry that passes (no toxic training label, or too few) every score is 0; an empty table gives an
+    empty one. Only the text is an input of the score.
     """
     small_batches(docs)
-    rows = checkpointed(training_sample(docs, labels, id_col, text_col, sample))
-    lexicon = mine_lexicon(rows, entries)
+    rows = checkpointed(one_of_copies(training_sample(docs, labels, id_col, text_col, sample)).withColumn("row", F.monotonically_increasing_id()))
+    found, looked = mine_lexicon(rows, entries)
+    gold = find_votes(rows, found, "row", "text", ("y",)).select("voters", "uses", "n_chars", "y").toPandas() if found else None  # 2 * sample rows
+    voters = tuned_voters(found, looked, gold, entries) if found else []
+    lexicon = [e for e, *_ in voters]
     m = len(lexicon) + len(PATTERNS)
-    votes = checkpointed(find_votes(docs, lexicon, id_col, text_col))
+    votes = checkpointed(find_votes(docs, lexicon, id_col, text_col).withColumn("speak", speaking(voters)))
     if lexicon:
-        n, both = moments(votes, m)
-        gold = find_votes(rows, lexicon, id_col, "text").join(rows.select(F.col(id_col).alias("id"), "y"), "id").select("voters", "uses", "n_chars", "y").toPandas()
-        y = gold["y"].to_numpy()
-        x = features(gold["voters"], gold["uses"], gold["n_chars"], m)
-        seen = (x[:, :m] > 0).astype(float)
-        w, bias = fit_linear(x, posterior(seen, label_model(n, both, seen, y, toxic_share(labels, id_col)), y))
+        patterns = checkpointed(votes.groupBy("speak").agg(F.count("*").alias("n")))
+        seen = np.array([[gold.loc[gold["y"] == c, "voters"].map(lambda v: len(found) + k in v).mean() for c in (1, 0)] for k in range(len(PATTERNS))])
+        toward = np.r_[np.ones(len(lexicon)), seen[:, 0] > 8 * seen[:, 1]].astype(int)
+        prior, _, weight, shared = label_model(patterns, toxic_share(labels, id_col), toward)
+        chosen = votes.where(~is_held_out("id")).orderBy(F.xxhash64("id"), "n_chars", "voters").limit(2 * sample).select("voters", "uses", "speak", "n_chars").toPandas()
+        p = posterior(votes_matrix(chosen["speak"], m), prior, weight, shared)
+        w, bias = fit_linear(features(chosen["voters"], chosen["uses"], chosen["speak"], chosen["n_chars"], m), p)
     else:
-        w, bias = np.zeros(m + 2), -30.0
+        w, bias = np.zeros(2 * m + 2), -30.0
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            z = features(frame["voters"], frame["uses"], frame["n_chars"], m) @ w + bias
-            yield pd.DataFrame({"id": frame["id"], "score": 1 / (1 + np.exp(-np.clip(z, -500, 500))) if lexicon else np.zeros(len(frame)), "n_voters": frame["voters"].str.len()})
+            z = features(frame["voters"], frame["uses"], frame["speak"], frame["n_chars"], m) @ w + bias
+            yield pd.DataFrame({"id": frame["id"], "score": 1 / (1 + np.exp(-np.clip(z, -500, 500))) if lexicon else np.zeros(len(frame)), "n_voters": frame["speak"].str.len()})
 
     kind = docs.schema[id_col].dataType.simpleString()
     done = votes.mapInPandas(score, f"id {kind}, score double, n_voters int").withColumnRenamed("id", id_col)
