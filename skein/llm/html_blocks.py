@@ -1,4 +1,14 @@
-"""HTML extraction: flat text blocks, classified by a decision tree on their words, links and neighbours."""
+"""HTML extraction: flat text blocks, classified by a decision tree on their words, links and neighbours.
+
+The tree sees six numbers: word count and share of link text of a block, of the one before and of the one after. It is
+trained on a small labelled table of such blocks and knows no markup. Markup only settles what its calls leave open:
+
+* The text of an article or main element stands or falls together: it stays if blocks with half of its words are called
+  content, so that its headings and short lines stay with it, and where one stays nothing outside of it does.
+* Elements whose name, class or id says that they are menus, notices, adverts, comments and the like are left out, as
+  prose inside them has the same numbers as an article's.
+* Where the tree calls nothing content, an article element is taken as it is.
+"""
 
 from __future__ import annotations
 
@@ -19,54 +29,74 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HIDDEN = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas audio video".split())
 CHROME = frozenset("nav footer aside form menu dialog header".split())
 ARTICLE = frozenset("article main".split())
+FOREIGN = frozenset("svg math path g circle rect line polyline polygon ellipse use defs symbol image stop mi mn mo mrow".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
-#: Words in class, id and role that mark what isn't the article.
-_MARKED = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|comments?|respond|disqus|replies|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|share|social|related|recommended|pagination|pager|search|login|complementary|contentinfo)(?:$|[\s_-])"
-)
+#: Words in class, id and role that mark what isn't the article; the second kind is also found on wrappers of whole pages,
+#: and an article below it is one again. A class like has-sidebar or no-comments marks nothing.
+_FIRM = re.compile(r"(?i)(?:^|[_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|comments?|respond|disqus|replies|breadcrumbs?|footer|contentinfo)(?:$|[_-])")
+_SOFT = re.compile(r"(?i)(?:^|[_-])(?:banner|sidebar|side|widget|menu|nav|navbar|navigation|masthead|topbar|toolbar|share|social|related|recommended|pagination|pager|search|login|complementary)(?:$|[_-])")
+_STATE = re.compile(r"(?i)(?:has|no|with|without|is|hide|show)[_-]")
+#: Elements that can stand in a head; any other ends it.
+HEAD = frozenset("title style script noscript template meta link base object".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_chrome"]
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after"]
 #: The small labelled table: rows of FEATURES and whether the block belongs to the article. Word counts are cut at 50.
 LABELLED = [
-    # paragraphs, headings and short lines of articles that are marked as such
-    ((50, 0.0, 8, 0.0, 50, 0.0, 1, 0), 1), ((50, 0.1, 50, 0.0, 50, 0.0, 1, 0), 1), ((2, 0.0, 50, 0.0, 50, 0.0, 1, 0), 1), ((7, 0.0, 6, 1.0, 50, 0.0, 1, 0), 1),
-    ((1, 0.0, 30, 0.0, 12, 0.0, 1, 0), 1), ((5, 1.0, 40, 0.0, 40, 0.0, 1, 0), 1), ((12, 0.5, 20, 0.0, 3, 0.0, 1, 0), 1), ((3, 0.0, 8, 0.0, 9, 0.0, 1, 0), 1),
-    ((30, 0.0, 2, 0.0, 11, 0.0, 1, 0), 1), ((4, 0.0, 7, 0.0, 8, 0.0, 1, 0), 1), ((50, 0.0, 1, 0.0, 0, 0.0, 1, 0), 1), ((1, 0.0, 1, 1.0, 2, 0.0, 1, 0), 1),
-    ((2, 1.0, 3, 0.0, 50, 0.0, 1, 0), 1), ((18, 0.2, 50, 0.0, 14, 0.0, 1, 0), 1), ((0, 0.0, 3, 0.0, 9, 0.0, 1, 0), 1), ((9, 0.0, 0, 0.0, 0, 0.0, 1, 0), 1),
-    ((5, 0.0, 2, 0.0, 3, 0.3, 1, 0), 1), ((3, 0.4, 5, 0.0, 2, 0.0, 1, 0), 1), ((2, 0.0, 2, 1.0, 5, 0.0, 1, 0), 1), ((8, 0.0, 5, 0.4, 6, 0.5, 1, 0), 1),
-    ((1, 0.0, 8, 0.0, 4, 0.0, 1, 0), 1), ((6, 0.3, 4, 0.8, 7, 0.9, 1, 0), 1), ((10, 0.0, 1, 1.0, 1, 1.0, 1, 0), 1), ((4, 1.0, 4, 1.0, 4, 1.0, 1, 0), 1),
-    ((2, 0.0, 0, 0.0, 8, 0.0, 1, 0), 1), ((3, 0.0, 4, 0.0, 0, 0.0, 1, 0), 1), ((15, 0.9, 6, 0.0, 5, 0.9, 1, 0), 1), ((7, 0.6, 9, 0.6, 9, 0.6, 1, 0), 1),
-    ((28, 0.4, 4, 0.2, 6, 0.0, 1, 0), 1), ((50, 0.9, 3, 1.0, 4, 0.9, 1, 0), 1), ((4, 0.0, 1, 1.0, 1, 1.0, 1, 0), 1), ((2, 0.9, 50, 0.0, 2, 0.9, 1, 0), 1),
-    # the same kinds inside menus, forms, notices, adverts and comments, also within an article
-    ((8, 0.0, 1, 1.0, 7, 0.0, 0, 1), 0), ((50, 0.0, 50, 0.0, 50, 0.0, 0, 1), 0), ((1, 1.0, 1, 1.0, 1, 1.0, 0, 1), 0), ((12, 0.0, 40, 0.0, 0, 0.0, 0, 1), 0),
-    ((30, 0.0, 12, 0.0, 25, 0.0, 1, 1), 0), ((3, 0.0, 50, 0.0, 30, 0.0, 1, 1), 0), ((50, 0.1, 20, 0.0, 20, 0.0, 1, 1), 0), ((2, 1.0, 9, 0.0, 4, 1.0, 1, 1), 0),
-    ((6, 0.0, 50, 0.0, 0, 0.0, 0, 1), 0), ((25, 0.0, 6, 0.0, 6, 0.0, 0, 1), 0), ((4, 0.6, 4, 0.7, 4, 0.7, 0, 1), 0), ((40, 0.3, 50, 0.0, 2, 1.0, 1, 1), 0),
-    ((50, 0.0, 3, 0.0, 8, 0.0, 0, 1), 0), ((18, 0.0, 22, 0.0, 30, 0.0, 0, 1), 0), ((38, 0.0, 50, 0.0, 50, 0.0, 1, 1), 0), ((50, 0.0, 9, 0.0, 50, 0.0, 1, 1), 0),
-    ((9, 0.0, 50, 0.0, 50, 0.0, 0, 1), 0), ((16, 0.1, 28, 0.0, 42, 0.0, 0, 1), 0), ((7, 0.0, 14, 0.0, 50, 0.0, 1, 1), 0), ((45, 0.0, 45, 0.0, 45, 0.0, 0, 1), 0),
-    ((22, 0.0, 0, 0.0, 0, 0.0, 0, 1), 0), ((33, 0.2, 5, 0.0, 28, 0.0, 1, 1), 0), ((5, 0.0, 33, 0.0, 41, 0.0, 1, 1), 0), ((27, 0.0, 27, 0.0, 3, 0.0, 0, 1), 0),
-    # pages without an article element: long blocks with few links, and short ones between them
-    ((50, 0.0, 50, 0.0, 50, 0.0, 0, 0), 1), ((40, 0.1, 3, 0.0, 45, 0.0, 0, 0), 1), ((22, 0.0, 30, 0.0, 18, 0.0, 0, 0), 1), ((17, 0.1, 22, 0.1, 25, 0.0, 0, 0), 1),
-    ((6, 0.0, 48, 0.0, 50, 0.0, 0, 0), 1), ((4, 0.0, 30, 0.0, 36, 0.1, 0, 0), 1), ((50, 0.2, 0, 0.0, 0, 0.0, 0, 0), 1), ((35, 0.0, 2, 1.0, 3, 0.9, 0, 0), 1),
-    ((9, 0.0, 2, 1.0, 40, 0.0, 0, 0), 1), ((8, 0.0, 3, 0.8, 50, 0.0, 0, 0), 1), ((20, 0.0, 50, 0.0, 3, 0.0, 0, 0), 1), ((24, 0.0, 16, 0.0, 4, 1.0, 0, 0), 1),
-    ((5, 0.0, 1, 1.0, 50, 0.0, 0, 0), 1), ((7, 0.0, 2, 1.0, 48, 0.0, 0, 0), 1), ((3, 0.0, 1, 1.0, 44, 0.0, 0, 0), 1), ((10, 0.0, 50, 0.0, 50, 0.0, 0, 0), 1),
-    ((1, 1.0, 1, 1.0, 1, 1.0, 0, 0), 0), ((2, 1.0, 2, 1.0, 9, 0.0, 0, 0), 0), ((3, 0.9, 50, 0.0, 4, 0.8, 0, 0), 0), ((10, 0.8, 12, 0.7, 9, 0.9, 0, 0), 0),
-    ((4, 0.0, 2, 1.0, 3, 1.0, 0, 0), 0), ((5, 0.0, 4, 0.0, 3, 0.0, 0, 0), 0), ((2, 0.0, 6, 0.0, 5, 0.0, 0, 0), 0), ((30, 0.9, 8, 1.0, 6, 1.0, 0, 0), 0),
-    ((6, 0.0, 1, 1.0, 2, 0.0, 0, 0), 0), ((50, 0.8, 20, 0.9, 20, 0.9, 0, 0), 0), ((7, 0.5, 3, 0.6, 8, 0.5, 0, 0), 0), ((3, 0.0, 0, 0.0, 4, 1.0, 0, 0), 0),
+    # article blocks of pages: headings, paragraphs and short lines
+    ((4, 0.0, 7, 0.0, 4, 0.0), 1), ((7, 0.0, 8, 0.0, 7, 0.0), 1), ((1, 0.0, 50, 0.0, 1, 0.0), 1), ((4, 0.0, 5, 0.0, 12, 0.0), 1),
+    ((6, 0.0, 8, 0.0, 13, 0.0), 1), ((4, 0.0, 34, 0.0, 15, 0.0), 1), ((1, 0.0, 1, 0.0, 48, 0.0), 1), ((2, 0.0, 12, 0.0, 19, 0.0), 1),
+    ((5, 0.0, 45, 0.0, 31, 0.0), 1), ((2, 0.0, 50, 0.0, 50, 0.0), 1), ((10, 0.0, 7, 0.0, 4, 0.0), 1), ((9, 0.0, 9, 0.0, 6, 0.0), 1),
+    ((12, 0.0, 50, 0.0, 2, 0.0), 1), ((11, 0.0, 5, 0.0, 14, 0.0), 1), ((8, 0.0, 12, 0.0, 8, 0.0), 1), ((8, 0.0, 26, 0.0, 11, 0.0), 1),
+    ((13, 0.0, 6, 0.0, 50, 0.0), 1), ((11, 0.0, 8, 0.0, 49, 0.0), 1), ((8, 0.0, 8, 0.0, 17, 0.0), 1), ((14, 0.0, 24, 0.0, 43, 0.0), 1),
+    ((15, 0.0, 50, 0.0, 50, 0.0), 1), ((20, 0.0, 6, 0.0, 2, 0.0), 1), ((23, 0.0, 10, 0.0, 4, 0.0), 1), ((17, 0.0, 44, 0.0, 1, 0.0), 1),
+    ((19, 0.0, 2, 0.0, 13, 0.0), 1), ((19, 0.0, 13, 0.0, 11, 0.0), 1), ((17, 0.0, 43, 0.0, 14, 0.0), 1), ((22, 0.0, 7, 0.0, 33, 0.0), 1),
+    ((22, 0.0, 14, 0.0, 20, 0.0), 1), ((20, 0.0, 22, 0.0, 49, 0.0), 1), ((31, 0.0, 5, 0.0, 1, 0.0), 1), ((31, 0.0, 10, 0.0, 6, 0.0), 1),
+    ((24, 0.0, 50, 0.0, 5, 0.0), 1), ((29, 0.0, 6, 0.0, 9, 0.0), 1), ((25, 0.0, 10, 0.0, 15, 0.0), 1), ((26, 0.0, 50, 0.0, 8, 0.0), 1),
+    ((26, 0.0, 6, 0.0, 50, 0.0), 1), ((31, 0.0, 9, 0.0, 34, 0.0), 1), ((30, 0.0, 33, 0.0, 45, 0.0), 1), ((50, 0.0, 7, 0.0, 2, 0.0), 1),
+    ((50, 0.0, 15, 0.0, 2, 0.0), 1), ((50, 0.0, 49, 0.0, 1, 0.0), 1), ((40, 0.0, 25, 0.0, 6, 0.0), 1), ((50, 0.0, 1, 0.0, 11, 0.0), 1),
+    ((50, 0.0, 15, 0.0, 10, 0.0), 1), ((46, 0.0, 50, 0.0, 8, 0.0), 1), ((32, 0.0, 27, 0.0, 8, 0.0), 1), ((48, 0.0, 1, 0.0, 24, 0.0), 1),
+    ((35, 0.0, 6, 0.0, 23, 0.0), 1), ((50, 0.0, 13, 0.0, 50, 0.0), 1), ((50, 0.0, 9, 0.0, 50, 0.0), 1), ((50, 0.0, 50, 0.0, 50, 0.0), 1),
+    ((38, 0.0, 23, 0.0, 16, 0.0), 1),
+    # menu links, adverts after a menu, and footers of the same pages
+    ((7, 0.0, 1, 1.0, 4, 0.0), 0), ((5, 0.0, 1, 1.0, 11, 0.0), 0), ((7, 0.0, 4, 0.0, 0, 0.0), 0), ((7, 0.0, 10, 0.0, 0, 0.0), 0),
+    ((7, 0.0, 50, 0.0, 0, 0.0), 0), ((1, 1.0, 0, 0.0, 1, 1.0), 0), ((1, 1.0, 1, 1.0, 1, 1.0), 0), ((1, 1.0, 1, 1.0, 8, 0.0), 0),
+    ((8, 0.0, 1, 1.0, 6, 0.0), 0), ((8, 0.0, 1, 1.0, 14, 0.0), 0), ((9, 0.0, 1, 1.0, 8, 0.0), 0), ((11, 0.0, 5, 0.0, 0, 0.0), 0),
+    ((11, 0.0, 9, 0.0, 0, 0.0), 0), ((8, 0.0, 46, 0.0, 0, 0.0), 0), ((16, 0.0, 3, 0.0, 0, 0.0), 0), ((16, 0.0, 8, 0.0, 0, 0.0), 0),
+    ((16, 0.0, 50, 0.0, 0, 0.0), 0),
+    # other pages: long blocks with few links, and headings and short lines between them
+    ((50, 0.2, 0, 0.0, 0, 0.0), 1), ((35, 0.0, 2, 1.0, 3, 0.9), 1), ((9, 0.0, 2, 1.0, 40, 0.0), 1), ((8, 0.0, 3, 0.8, 50, 0.0), 1),
+    ((24, 0.0, 16, 0.0, 4, 1.0), 1), ((5, 0.0, 1, 1.0, 50, 0.0), 1), ((7, 0.0, 2, 1.0, 48, 0.0), 1), ((3, 0.0, 1, 1.0, 44, 0.0), 1),
+    ((40, 0.1, 3, 0.0, 45, 0.0), 1), ((17, 0.1, 22, 0.1, 25, 0.0), 1), ((50, 0.0, 50, 0.0, 0, 0.0), 1), ((45, 0.1, 30, 0.0, 1, 1.0), 1),
+    # other pages: lists of links, and short lines among them
+    ((2, 1.0, 2, 1.0, 9, 0.0), 0), ((3, 0.9, 50, 0.0, 4, 0.8), 0), ((10, 0.8, 12, 0.7, 9, 0.9), 0), ((4, 0.0, 2, 1.0, 3, 1.0), 0),
+    ((30, 0.9, 8, 1.0, 6, 1.0), 0), ((6, 0.0, 1, 1.0, 2, 0.0), 0), ((50, 0.8, 20, 0.9, 20, 0.9), 0), ((7, 0.5, 3, 0.6, 8, 0.5), 0),
+    ((3, 0.0, 0, 0.0, 4, 1.0), 0), ((1, 1.0, 50, 0.0, 1, 1.0), 0), ((2, 1.0, 40, 0.0, 0, 0.0), 0), ((4, 1.0, 50, 0.0, 50, 0.0), 0),
 ]
 
 
+def marks(attributes: str) -> int:
+    """0, 1 for a mark that an article inside lifts, 2 for a firm one."""
+    found = 0
+    for a, b, c in _ATTRIBUTE.findall(attributes):
+        for token in (a or b or c).split():
+            if not _STATE.match(token):
+                found = max(found, 2 if _FIRM.search(token) else 1 if _SOFT.search(token) else 0)
+    return found
+
+
 def blocks_of(page: str) -> list[tuple[str, int, float, int, int]]:
-    """The page's text blocks in order: text, words, share of link text, inside an article, inside what isn't one.
+    """The page's text blocks in order: text, words, share of link text, number of the outermost article (0: none), and
+    how firmly it is marked as something else.
 
     A block is the text between tags that aren't inline. Scripts, styles, comments and other hidden elements have none.
     Elements end with their end tag, or with that of one around them; everything open ends with the page.
     """
     out, parts = [], []
     stack: list[tuple[str, int, int, int, int]] = []  # tag, and what held before it: hidden, link, article, chrome
-    hidden = link = article = chrome = 0
+    hidden = link = article = chrome = articles = 0
     linked = 0
 
     def flush() -> None:
@@ -109,18 +139,27 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int]]:
                 _, hidden, link, article, chrome = stack[depth]
                 del stack[depth:]
             continue
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in ARTICLE and tag not in CHROME and tag not in HIDDEN and tag != "div" and tag != "p":
+        if tag not in HEAD and (depth := next((d for d, x in enumerate(stack) if x[0] == "head"), None)) is not None:
+            _, hidden, link, article, chrome = stack[depth]  # the end tag of a head may be left out
+            del stack[depth:]
+        if tag in VOID or m[3].endswith("/") and tag in FOREIGN:
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
             _, hidden, link, article, chrome = stack.pop()
         stack.append((tag, hidden, link, article, chrome))
         hidden |= tag in HIDDEN
         link |= tag == "a"
+        mark = marks(m[3]) if m[3] and tag not in ("html", "body") else 0
         if tag in ARTICLE:
-            article = 1
-        marked = m[3] and any(_MARKED.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(m[3]))
-        if tag in CHROME and not (tag == "header" and article and not chrome) or marked and tag not in ("html", "body", *ARTICLE):
-            chrome = 1
+            if chrome == 1:
+                chrome = 0
+            if not article:
+                articles += 1
+                article = articles
+            mark = 2 * (mark == 2 and tag == "article" and chrome < 2 and article != articles)  # a comment inside an article
+        if tag in CHROME and not (tag == "header" and article and not chrome):
+            mark = 2
+        chrome = max(chrome, mark)
         if tag in RAW:  # their content is no markup
             close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             at = close.start() if close else end
@@ -130,7 +169,7 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int]]:
 
 def features_of(blocks: list[tuple[str, int, float, int, int]]) -> list[tuple[float, ...]]:
     near = [(0.0, 0.0), *((min(w, 50), link) for _, w, link, *_ in blocks), (0.0, 0.0)]
-    return [(*near[i + 1], *near[i], *near[i + 2], b[3], b[4]) for i, b in enumerate(blocks)]
+    return [(*near[i + 1], *near[i], *near[i + 2]) for i in range(len(blocks))]
 
 
 def learn_tree(spark: SparkSession, labelled=LABELLED, depth: int = 6):
@@ -154,7 +193,21 @@ def decide(tree, x: tuple[float, ...]) -> int:
 
 def main_text(page: str, tree) -> str:
     blocks = blocks_of(page)
-    return " ".join(b[0] for b, x in zip(blocks, features_of(blocks)) if decide(tree, x))
+    content = [bool(decide(tree, x)) for x in features_of(blocks)]
+    words: dict[int, list[int]] = {}
+    for (_, n, _, article, chrome), is_content in zip(blocks, content):
+        if article and not chrome:
+            both = words.setdefault(article, [0, 0])
+            both[0] += n
+            both[1] += n * is_content
+    stay = {k for k, (n, called) in words.items() if 2 * called >= n}
+    if not stay and words and not any(c and not b[4] for b, c in zip(blocks, content)):
+        stay = {max(words, key=lambda k: (words[k][0], -k))}
+    if stay:
+        kept = [b[0] for b in blocks if b[3] in stay and not b[4]]
+    else:
+        kept = [b[0] for b, c in zip(blocks, content) if c and not b[4]]
+    return " ".join(kept)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", tree=None) -> DataFrame:

@@ -161,8 +161,6 @@ def test_toxicity(spark, docs, data, odd):
     assert all(r[1] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r[2] <= 1 and r[3] == (r[2] >= 0.5) for i, r in got.items())
     known = [(got[i][2], y) for i, y in rows(labels.select("doc_id", "toxic")) if got[i][1]]
     assert np.mean([(s >= 0.5) == y for s, y in known]) > 0.95
-    toxic, other = [s for s, y in known if y], [s for s, y in known if not y]
-    assert np.mean([a > b for a in toxic for b in other]) > 0.9
     small = rows(toxicity.score_toxicity(odd, labels))
     assert len(small) == len(ODD) and sum(r[0] is None for r in small) == 1
     assert {r[2] for r in rows(toxicity.score_toxicity(docs, labels.where("toxic = 0")))} == {0.0}
@@ -249,6 +247,10 @@ def test_pieces_against_the_library(docs, odd):
         assert ids == sp.encode(texts)
         assert [p.decode(x) for x in ids] == sp.decode(ids)
     assert p.decode([3 + 0xE4, 3 + 0xB8, 5000]) == sp.decode([3 + 0xE4, 3 + 0xB8, 5000])
+    rng = random.Random(7)
+    long = ["information" * 20_000, "".join(rng.choice("etaoin") for _ in range(1_000_000)), "".join(rng.choice("的一是在不了有和人这") for _ in range(200_000)), "\U0001f600\n\x00\x01" * 20_000, " " * 50_000, "x y " * 50_000]
+    for x, want in zip(p.encode(long), sp.encode(long)):
+        assert x.tolist() == want
     got = suffix_pieces.encode_texts(odd, MODEL)
     assert multiset((r[0], r[1]) for r in rows(got)) == multiset((i, sp.encode(t or "")) for i, t, _ in ODD)
     back = suffix_pieces.decode_ids(got.select("doc_id", "ids"), MODEL)
@@ -308,10 +310,6 @@ def test_hilbert_is_a_curve():
 
 def test_html(spark, data):
     tree = html_blocks.learn_tree(spark)
-    rng = random.Random(4)
-    for _ in range(3000):
-        x = (rng.randrange(51), rng.random(), rng.randrange(51), rng.random(), rng.randrange(51), rng.random())
-        assert html_blocks.decide(tree, (*x, 1, 0)) == 1 and html_blocks.decide(tree, (*x, rng.randrange(2), 1)) == 0
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header>
     <nav><ul><li><a href="/a">One</a></li></ul></nav><div class="cookie-notice">We use cookies on this site, accept them.</div><main><article><header><h1>The  head&amp;line</h1></header><!-- ad --><p>First <b>bo</b>ld<br>line &lt;x&gt; &#233;&nbsp;z<p>Second <a href="#">link</a>.
     <div class="ad">Buy this now</div><aside>See also</aside><pre> a
@@ -320,6 +318,21 @@ def test_html(spark, data):
     assert html_blocks.main_text("", tree) == "" and html_blocks.main_text("<article><p>cut off", tree) == "cut off"
     body = " ".join(["word"] * 60)
     assert html_blocks.main_text(f"<div><a href=/>Home</a></div><h1>Long title of this page</h1><p>{body}</p><p>{body}</p><ul><li><a>x</a></li><li><a>y</a></li></ul>", tree) == f"Long title of this page {body} {body}"
+    text, menu = f"Long title of this page {body} {body}", "<ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul>"
+    inner = f"<h1>Long title of this page</h1><p>{body}<p>{body}"
+    for wrapped in (
+        f"<html><head><title>T</title><meta charset=utf-8><body>{menu}<article>{inner}</article>",  # no end of the head
+        f"<html><head><title>T</title><style>p</style>{menu}<article>{inner}</article>",
+        f"<article><svg width=1 />{inner}</article>", f"<article><svg><path d=1 /></svg>{inner}</article>", f"<article>{inner}<math/></article>",
+        *(f"<div class='{c}'>{menu}<article>{inner}</article><div class=comments><p>{body}</p></div></div>" for c in ("layout has-sidebar", "no-comments", "search-results", "with-nav related")),
+        f"<section id='related-work'><article>{inner}</article></section>",
+        f"<article>{inner}<div class=comments><article class=comment><p>{body}</p></article></div></article>",
+        f"<main><article>{inner}</article><aside><article><p>{body}</p></article></aside></main>",
+        f"<article><div class='ad-box'><p>{body}</p></div>{inner}</article><div><p>{body}</p></div>",
+    ):
+        assert html_blocks.main_text(wrapped, tree) == text, wrapped[:80]
+    huge = f"{menu}<article><h1>Title</h1>{'<p>' + 'word ' * 200_000}</article><footer>End</footer>"
+    assert len(html_blocks.main_text(huge, tree)) == len("Title ") + 5 * 200_000 - 1
     pages = common.table(spark, data, "pages")
     wanted = {r["page_id"]: " ".join(__import__("html").unescape(re.sub("<(?!/?b>)[^>]*>", " ", re.sub("</?b>", "", re.search("<article>(.*)</article>", r["html"], re.S)[1]))).split()) for r in pages.collect()}
     got = {r["page_id"]: r for r in html_blocks.extract_pages(pages.withColumn("n_chars", F.lit("x"))).collect()}
@@ -329,6 +342,21 @@ def test_html(spark, data):
     assert html_blocks.extract_pages(few.limit(0)).count() == 0
 
 
+def test_blocks_are_told_apart_by_words_and_links_alone(spark, data):
+    """The tree sees no markup; where elements lose their names, most pages still come out as they are."""
+    tree = html_blocks.learn_tree(spark)
+    assert len(html_blocks.FEATURES) == 6
+    right = blocks = same = 0
+    pages = [r[0] for r in common.table(spark, data, "pages").select("html").collect()]
+    for page in pages:
+        found = html_blocks.blocks_of(page)
+        for b, x in zip(found, html_blocks.features_of(found)):
+            blocks, right = blocks + 1, right + (html_blocks.decide(tree, x) == int(b[3] > 0 and not b[4]))
+        bare = re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", page))
+        same += html_blocks.main_text(bare, tree) == html_blocks.main_text(page, tree)
+    assert right / blocks > 0.97 and same / len(pages) > 0.55
+
+
 def test_digest_of_turns(spark, data):
     from skein.llm.queries import op2_chat_formatting
 
