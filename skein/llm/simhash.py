@@ -33,18 +33,24 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
     for i in range(0, n, STEP):
         part = w[i : min(i + STEP, n) + shingle - 1]
         cut = zip(*(part[k:] for k in range(shingle))) if len(part) >= shingle else [part]
-        h = np.array([hashed(b" ".join(s), 42) for s in cut], dtype=np.uint64)
+        ones += bit_counts(np.array([hashed(b" ".join(s), 42) for s in cut], dtype=np.uint64), words)
+    return np.packbits(2 * ones > n).tobytes()
+
+
+def bit_counts(hashes: np.ndarray, words: int) -> np.ndarray:
+    """How many hashes have each bit of a fingerprint of ``words`` 64-bit words."""
+    ones = np.zeros(64 * words, np.int64)
+    for j in range(0, len(hashes), 1024):  # small enough for the processor's caches
         for k in range(words):
-            x = h
+            x = hashes[j : j + 1024]
             if k:
                 with np.errstate(over="ignore"):
-                    x = h + np.uint64(k) * _MIX
+                    x = x + np.uint64(k) * _MIX
                     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                     x = x ^ (x >> np.uint64(31))
-            for j in range(0, len(x), 4096):  # small enough for the processor's caches
-                ones[64 * k : 64 * k + 64] += np.unpackbits(x[j : j + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > n).tobytes()
+            ones[64 * k : 64 * k + 64] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return ones
 
 
 def block_keys(prints: np.ndarray, blocks: int, together: int) -> np.ndarray:
@@ -105,14 +111,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(group, classes["class"] == group["node"], "left").select(F.col("fp").alias("of"), F.coalesce("component", "class").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("of")).select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose near-duplicates have a smaller id. Of repeated rows of one id, the one of the
-    smallest hash over all columns (maps left out) stays, so reruns agree. Rows without an id can't be matched and all
-    stay; an empty table gives an empty one."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    left = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
-    hashed = F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
-    first = left.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), hashed).alias("_row")).select("_row.*")
-    return first.unionByName(docs.where(F.col(id_col).isNull()))

@@ -136,18 +136,6 @@ def test_simhash_dense_groups(spark):
     assert {k: v for k, v in want.items() if k != v} == got[8] == got[1000]
 
 
-def test_one_of_each(spark):
-    """Copies keep the smallest id, repeated ids one row whatever the partitions, rows without an id all stay."""
-    long = " ".join(f"w{k}" for k in range(60))
-    rows = [(5, long, "a"), (3, long, "b"), (9, "another text of its own", "c"), (9, "a second text under that id", "d"), (None, "x y z", "e"), (None, "x y z", "e"), (None, None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    key = lambda r: tuple(str(x) for x in r)
-    got = [sorted((tuple(r) for r in simhash.one_of_each(d).collect()), key=key) for d in (df, df.repartition(7), df.orderBy("source"))]
-    assert got[0] == got[1] == got[2]
-    assert sorted(str(r[0]) for r in got[0]) == ["3", "9", "None", "None", "None"]
-    assert simhash.one_of_each(df.limit(0)).count() == 0
-
-
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 5), (9, 3), (3, 7), (200, 100)]
     got = dict(rows(common.components(spark.createDataFrame(edges, "a long, b long"))))
