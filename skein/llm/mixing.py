@@ -137,5 +137,5 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, id_col: str = "doc_id", shards: int = 32, seed: int = 5, **options) -> DataFrame:
     """The mixed corpus: a row of ``docs`` for each copy taken, a partition per shard, shuffled inside it."""
     copies = mix_plan(docs, id_col, shards=shards, seed=seed, **options).select(*docs.columns, F.posexplode("shards").alias("_copy", "_shard"))
-    dealt = copies.repartition(shards, "_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), F.col(id_col), F.col("_copy")))
+    dealt = copies.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), F.col(id_col), F.col("_copy")))
     return dealt.select(*docs.columns)

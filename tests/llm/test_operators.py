@@ -179,6 +179,7 @@ def test_mixing(spark, docs, odd):
     again = mixing.mix_plan(docs.repartition(7)).select("doc_id", "taken", "shards")
     assert multiset(rows(again)) == multiset((r["doc_id"], r["taken"], r["shards"]) for r in got) and open_
     mixed = mixing.mix(docs, shards=8)
+    assert mixed.rdd.getNumPartitions() == 8 and mixed.groupBy(F.spark_partition_id()).count().count() == 8  # a partition a shard
     assert mixed.columns == docs.columns and mixed.count() == sum(r["taken"] // r["size"] for r in got if r["size"])
     small = mixing.mix_plan(odd)
     assert small.columns == ["doc_id", "text", "source", "n_tokens", "size", "source_size", "target", "taken", "shards"] and small.count() == len(ODD)
