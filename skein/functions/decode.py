@@ -16,7 +16,8 @@ def _quoted(text: str) -> str:
 
 #: The standard library's table of character references as one map literal.
 _NAMED = "map(" + ", ".join(f"{_quoted(k[:-1])}, {_quoted(v)}" for k, v in html5.items() if k.endswith(";")) + ")"
-_PRINTABLE = r"[\x20-\x7E\t\n\r]"
+#: Characters of any script; controls, unassigned ones and separators but the space are not printable.
+_PRINTABLE = r"[[\P{C}&&\P{Z}] \t\n\r]"
 
 
 def percent_decode(c: Column) -> Column:
@@ -74,11 +75,11 @@ def html_decode(c: Column) -> Column:
 
 
 def unicode_unescape(c: Column) -> Column:
-    """``\\uXXXX`` to characters, two units of a surrogate pair to one: the parts between escapes, zipped with the
-    decoded escapes."""
-    escape = r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}"
+    """``\\uXXXX`` and ``\\UXXXXXXXX`` to characters, two units of a surrogate pair to one: the parts between escapes,
+    zipped with the decoded escapes."""
+    escape = r"\\U00(?:10|0[0-9A-Fa-f])[0-9A-Fa-f]{4}|\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}"
     parts, found = F.split(c, escape), F.regexp_extract_all(c, F.lit(f"({escape})"))
-    chars = F.transform(found, lambda h: F.when(F.length(h) == 12, F.decode(F.unhex(F.replace(h, F.lit("\\u"), F.lit(""))), "UTF-16BE")).otherwise(F.decode(F.unhex(F.lpad(F.substring(h, 3, 4), 8, "0")), "UTF-32")))
+    chars = F.transform(found, lambda h: F.when(F.length(h) == 12, F.decode(F.unhex(F.replace(h, F.lit("\\u"), F.lit(""))), "UTF-16BE")).otherwise(F.decode(F.unhex(F.lpad(F.substring(h, 3, 8), 8, "0")), "UTF-32")))
     return F.array_join(F.zip_with(parts, chars, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
 
 
@@ -110,16 +111,23 @@ def squeeze_space(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"[\n\r]{2,}", "\n")
 
 
-def fold_path(c: Column, rounds: int = 8) -> Column:
-    """Back-slashes, repeated slashes, ``/./``, ``/x/../`` and ``..../``, each fixpoint to a bounded depth."""
-    c = F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "/{2,}", "/")
-    for _ in range(rounds):
-        c = F.replace(c, F.lit("/./"), F.lit("/"))
-    for _ in range(rounds):
-        c = F.regexp_replace(c, r"/(?!\.\.(?:/|$))[^/]+/\.\./", "/")
-    for _ in range(rounds):
-        c = F.replace(c, F.lit(".../"), F.lit("../")) if _ else F.regexp_replace(c, r"\.\.\./", "../")
-    return F.regexp_replace(c, r"/\.$", "/")
+def fold_path(c: Column) -> Column:
+    """Back-slashes, repeated slashes, ``/./``, ``/x/../`` and four dots before a slash, each until nothing is left to fold.
+
+    The segments are folded in one pass, each ``..`` taking back the segment before it; four or more dots lose two at a
+    time, so that an even number leaves two and an odd one three.
+    """
+    c = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "/{2,}", "/"), r"/(?:\./)+", "/")
+
+    def folded(parts: Column) -> Column:
+        back = lambda done, s: (s == "..") & (F.size(done) > 1) & ~F.element_at(done, -1).isin("..", "")
+        step = lambda done, s: F.when(back(done, s), F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(s)))
+        inner = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), F.slice(parts, 1, 1), step)
+        return F.array_join(F.concat(inner, F.slice(parts, -1, 1)), "/")
+
+    once = let(F.split(c, "/"), folded)
+    c = F.when(F.contains(c, F.lit("/../")), once).otherwise(c)
+    return F.regexp_replace(F.regexp_replace(c, r"(?<!\.)\.\.(?:\.\.)+(\.?)/", "..$1/"), r"/\.$", "/")
 
 
 def percent_encode_all(c: Column) -> Column:

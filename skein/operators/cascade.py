@@ -12,10 +12,21 @@ from ..functions.normalize import normalize_fields
 LOW, HIGH = 0.05, 0.5
 
 
-def obviously_benign(name: Column, value: Column) -> Column:
-    suspicious = ["q", "query", "search", "id", "sql", "cmd", "exec", "command", "file", "path", "url", "redirect", "next", "template", "data", "xml", "callback", "host", "target", "filename", "upload", "uri"]
-    plain = F.rlike(value, F.lit(r"^[A-Za-z0-9_]{1,6}$")) | F.rlike(value, F.lit(r"^[A-Za-z0-9][A-Za-z0-9 _,.!?-]* [A-Za-z0-9 _,.!?-]*$")) | F.rlike(value, F.lit(r"^-?[0-9]+(\.[0-9]+)?$"))
-    return (F.length(value) <= 256) & ~F.lower(name).isin(suspicious) & ~F.contains(value, F.lit("..")) & plain
+# Names whose values are never benign at sight, literals and shapes that are.
+WARY_NAMES = ["url", "uri", "redirect", "redirect_url", "return", "return_url", "next", "continue", "callback", "file", "path", "template", "cmd", "command", "exec", "query", "sql", "xml", "filename", "upload", "log", "message"]
+PLAIN_VALUES = ["true", "false", "null", "none", "asc", "desc", "zh-cn", "en-us"]
+PLAIN_NUMBER = r"(?U)^[+-]?\d+(?:\.\d+)?\z"
+PLAIN_TEXT = r"(?U)^[\w\-.\u3400-\u9fff ]{1,128}\z"
+CONTROLS = "[<>'\"%\r\n`]"
+
+
+def obviously_benign(name: Column, value: Column, location: Column) -> Column:
+    """Numbers, literals, browser agents and short or spaced plain text, unless the name calls for a closer look."""
+    v = F.regexp_replace(value, r"(?U)^\s+|\s+\z", "")
+    agent = (location == "header") & F.startswith(v, F.lit("Mozilla/5.0")) & ~F.rlike(v, F.lit(CONTROLS))
+    text = ~F.contains(v, F.lit("..")) & F.rlike(v, F.lit(PLAIN_TEXT)) & (F.contains(v, F.lit(" ")) | (F.length(v) <= 6))
+    plain = F.lower(v).isin(PLAIN_VALUES) | F.rlike(v, F.lit(PLAIN_NUMBER)) | agent | text
+    return (v != "") & (F.length(v) <= 256) & ~F.lower(name).isin(WARY_NAMES) & plain
 
 
 def thresholds(location: Column, low: float = LOW, high: float = HIGH) -> tuple[Column, Column]:
@@ -46,10 +57,10 @@ def detect_fields(fields: DataFrame, score: Column | None = None, low: float = L
     least, most = thresholds(location, low, high)
     decided = (
         F.when(gates.may_be_safe_context(value) & gates.safe_context(name, value, location, restored), made("benign", 0.995, "L0-Context", none))
-        .when(P.rule_verdict(value) == "attack", made("attack", 0.99, "L1-Raw", F.col("raw_hits")))
+        .when(P.verdict_of(F.col("raw_hits")) == "attack", made("attack", 0.99, "L1-Raw", F.col("raw_hits")))
         .when(F.size("coded") > 0, made("attack", 0.99, "L1-Raw", F.col("coded")))
-        .when(obviously_benign(name, value), made("benign", 0.999, "L0", none))
-        .when(P.rule_verdict(restored) == "attack", made("attack", 0.99, "L1", F.col("hits")))
+        .when(obviously_benign(name, value, location), made("benign", 0.999, "L0", none))
+        .when(P.verdict_of(F.col("hits")) == "attack", made("attack", 0.99, "L1", F.col("hits")))
         .when(F.size("context") > 0, made("attack", 0.99, "L1-Context", F.col("context")))
         .when(gates.security_discussion(name, value, location, restored), made("benign", 0.995, "L0-Context", none))
         .when(s >= most, made("attack", s, "L2+Text", F.col("hits")))

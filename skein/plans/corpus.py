@@ -75,13 +75,12 @@ def g_nearest_rank(spark, d):
     return metrics.nearest_rank(t(spark, d, "events"), ["event_type"], "value", 0.95)
 
 
-@query(f"select count(*) filter (where label = 1 and text >= 0.5) / greatest(count(*) filter (where label = 1), 1) as recall, count(*) as n from {_SCORED} where kind in (select kind from (select distinct kind from {_SCORED}) order by kind limit 2)")
+@query(f"select coalesce(kind, 'union') as source, count(*) filter (where label = 1 and text >= 0.5) / greatest(count(*) filter (where label = 1), 1) as recall, count(*) as n from {_SCORED} group by rollup(kind)")
 def g_union_recall(spark, d):
-    """Recall over the union of the first two sources by name."""
-    s = _scored(spark, d)
-    s = s.join(F.broadcast(s.select("kind").distinct().orderBy("kind").limit(2)), "kind", "left_semi")
+    """Recall of every source, and over the union of all."""
     y, hit = F.col("label") == 1, F.col("text") >= 0.5
-    return s.agg((F.count_if(y & hit) / F.greatest(F.count_if(y), F.lit(1))).alias("recall"), F.count("*").alias("n"))
+    made = _scored(spark, d).rollup("kind").agg((F.count_if(y & hit) / F.greatest(F.count_if(y), F.lit(1))).alias("recall"), F.count("*").alias("n"))
+    return made.select(F.coalesce("kind", F.lit("union")).alias("source"), "recall", "n")
 
 
 @query(f"select doc_id, kind from (select *, row_number() over (partition by label order by doc_id) as k from {_SCORED} where (label = 0 and text >= 0.5)) where k <= 30")
@@ -90,10 +89,15 @@ def g_false_positive_examples(spark, d):
     return _scored(spark, d).where("label = 0 and text >= 0.5").orderBy("doc_id").limit(30).select("doc_id", "kind")
 
 
-@query(f"with h as ({_HITS}) select rule, count(*) as false_positives from h where page_id % 3 <> 0 group by rule")
+_NORMAL_HITS = " union all ".join(f"select '{i}' as rule from normal where regexp_matches(text, {P.sql(p)})" for i, _, _, p in P.RULES)
+
+
+@query(f"with normal as (select text from documents where doc_id in (select doc_id from labels where toxic = 0) union all select html from pages), h as ({_NORMAL_HITS}) select rule, count(*) as false_positives from h group by rule")
 def g_rule_false_positives(spark, d):
-    normal = t(spark, d, "pages").where("page_id % 3 <> 0")
-    return normal.select(F.explode(P.rule_hits(F.col("html"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("false_positives"))
+    """Hits of each rule on ordinary traffic: pages, and texts of documents labelled as clean."""
+    clean = t(spark, d, "labels").where("toxic = 0").select("doc_id")
+    normal = t(spark, d, "documents").join(clean, "doc_id", "left_semi").select("text").union(t(spark, d, "pages").select("html"))
+    return normal.select(F.explode(P.rule_hits(F.col("text"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("false_positives"))
 
 
 # --- curation -------------------------------------------------------------------------------------------------------
@@ -223,9 +227,9 @@ def x_context_mismatch(spark, d):
 
 
 # --- models ---------------------------------------------------------------------------------------------------------
-@query("with b as (select item_id, lower(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as s from benchmark), g as (select distinct item_id, substr(s, cast(i as int), 3) as gram from (select item_id, s, unnest(range(1, length(s) - 1)) as i from b)) select gram, count(*) as documents from g group by gram having count(*) >= 2")
+@query("with b as (select doc_id, lower(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as s from documents), g as (select distinct doc_id, substr(s, cast(i as int), 3) as gram from (select doc_id, s, unnest(range(1, length(s) - 1)) as i from b)) select gram, count(*) as documents from g group by gram having count(*) >= 2")
 def l_ngram_frequencies(spark, d):
-    return learn.ngram_frequencies(t(spark, d, "benchmark"), "text", 3)
+    return learn.ngram_frequencies(t(spark, d, "documents"), "text", 3)
 
 
 @query()

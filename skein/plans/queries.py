@@ -70,13 +70,13 @@ def rq_json_leaves(spark, d):
 # --- decoding, restoring --------------------------------------------------------------------------------------------
 def round_trip(encode, decode):
     def run(spark, d):
-        docs = t(spark, d, "documents").where(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
+        docs = t(spark, d, "documents")
         return docs.select("doc_id", F.sha2(decode(encode(F.col("text"))), 256).alias("digest"))
 
     return run
 
 
-_ASCII = "select doc_id, sha256(text) as digest from documents where not regexp_matches(text, '[^\\x00-\\x7F]')"
+_WHOLE = "select doc_id, sha256(text) as digest from documents"
 for _name, _encode, _decode in [
     ("u_percent_round_trip", D.percent_encode_all, D.percent_decode),
     ("u_double_percent_round_trip", lambda c: F.replace(D.percent_encode_all(c), F.lit("%"), F.lit("%25")), lambda c: D.percent_decode_layers(c)[0]),
@@ -84,7 +84,7 @@ for _name, _encode, _decode in [
     ("u_hex_round_trip", lambda c: F.lower(F.hex(F.encode(c, "UTF-8"))), lambda c: F.coalesce(D.hex_decode(c), F.lit("failed"))),
     ("u_unicode_round_trip", D.unicode_escape_all, D.unicode_unescape),
 ]:
-    QUERIES[_name], ORACLE_SQL[_name] = round_trip(_encode, _decode), _ASCII
+    QUERIES[_name], ORACLE_SQL[_name] = round_trip(_encode, _decode), _WHOLE
 
 
 @query("select page_id, length(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')) as chars, len(regexp_extract_all(html, '&(?:#[0-9]+|[A-Za-z]+);')) as entities from pages")
@@ -188,8 +188,8 @@ def p_page_rule_hits(spark, d):
 
 @query(f"select p.page_id, case when count(*) filter (where h.severity = 'high') > 0 then 'attack' else 'uncertain' end as verdict, count(h.rule) as hits from pages p left join ({_HITS}) h using (page_id) group by p.page_id")
 def p_page_verdicts(spark, d):
-    c = F.col("html")
-    return t(spark, d, "pages").select("page_id", P.rule_verdict(c).alias("verdict"), F.size(P.rule_hits(c)).cast("long").alias("hits"))
+    hits = t(spark, d, "pages").select("page_id", F.inline(F.array(F.struct(P.rule_hits(F.col("html")).alias("hits")))))
+    return hits.select("page_id", P.verdict_of(F.col("hits")).alias("verdict"), F.size("hits").cast("long").alias("hits"))
 
 
 @query("select page_id, (url like '%page=%') as paged, (url like '%utm_source=%') as tracked, regexp_matches(url, '(?i)\\.html?($|[?#])') as static_page from pages")
@@ -225,11 +225,11 @@ def j_enrichment(spark, d):
     return c.select("c_custkey", F.coalesce("n_name", F.lit("unmapped")).alias("nation"), F.col("n_name").isNotNull().alias("known"))
 
 
-@query("select user_id, lo, count(*) as n from events join (select distinct user_id - user_id % 10 as lo from events) on user_id between lo and lo + 9 where lo % 20 = 0 group by user_id, lo")
+@query("select user_id, lo, count(*) as n from events join (select distinct user_id - user_id % 10 as lo from events) on user_id between lo and lo + 9 group by user_id, lo")
 def j_ranges(spark, d):
     """Values in ranges: both sides fall into buckets of the ranges' width, so the join is on equal buckets."""
     e = t(spark, d, "events")
-    ranges = e.select((F.col("user_id") - F.col("user_id") % 10).alias("lo")).distinct().where("lo % 20 = 0")
+    ranges = e.select((F.col("user_id") - F.col("user_id") % 10).alias("lo")).distinct()
     return e.withColumn("lo", F.col("user_id") - F.col("user_id") % 10).join(ranges, "lo").groupBy("user_id", "lo").agg(F.count("*").alias("n"))
 
 
