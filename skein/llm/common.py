@@ -47,7 +47,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest id reachable, for every id in ``edges(a, b)``.
+    """(node, component): the smallest id reachable, for every id in ``edges(a, b)`` but those smallest ones themselves.
 
     Alternates large-star and small-star contraction, so the number of rounds grows with the logarithm of the longest
     chain. Each step is a min-aggregate (combined before the shuffle) and an equi-join; nothing is collected but one
