@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin digests of what the operators return, over whole tables."""
+"""The registered queries of the operators: thin digests of what the operators return, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, hilbert_ann, html_blocks, itq_dedup, license_scan, mixing, simhash, suffix_pieces, token_counts, toxicity
+from . import chat_format, hilbert_ann, html_blocks, itq_dedup, license_scan, merkle, mixing, repetition, simhash, suffix_pieces, token_counts, toxicity, whitening
 from .common import table
 
 
@@ -60,13 +60,27 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    altered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
+    found = merkle.audited(table(spark, sf_dir, "documents"), altered, {"n_chars": F.col("n_chars") + 1})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge_repetition(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_simhash, op4_toxicity, op5_mixing, op6_embedding_dedup, op7_sentencepiece, op8_license_scan, op9_nearest_neighbours, op10_html_extraction, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_simhash, op4_toxicity, op5_mixing, op6_embedding_dedup, op7_sentencepiece, op8_license_scan, op9_nearest_neighbours, op10_html_extraction, op11_embedding_whitening, op12_merkle_manifest, op13_quality_rules, pipeline)}
 
 _ESCAPED = "replace(replace({}, '\\', '\\\\'), '<|', '<\\|')"
 _ROLE = "coalesce(role, '')"
@@ -81,5 +95,47 @@ g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text ||
   sum(12 + length(replace({_ESCAPED.format('role')}, chr(10), '\\n')) + 1 + length({_ESCAPED.format('text')}) + 11) as formatted_chars
   from t group by conv_id)
 select conv_id, n_turns, sha256(all_text) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars from g
+""",
+    "op12_merkle_manifest": """
+with recursive
+f as (select doc_id, coalesce('=' || lang, '') as tree, n_chars, source, lang, text,
+  (select list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, length(s) + 1), lambda i: cast(ascii(s[i]) as bigint))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: cast(0 as bigint))), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))
+    from (select cast(doc_id as varchar) as s)) as crc from documents),
+framed as (select doc_id, tree, 7 as seven, (xor(crc, 4294967295) % 7 = 0) as hit, n_chars,
+  coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+  coalesce(strlen(text) || ':' || text, '-') as tail from f),
+leaves as (select doc_id, tree, hit, sha256(head || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') || tail) as leaf,
+  sha256(head || coalesce(strlen(cast(n_chars + 1 as varchar)) || ':' || (n_chars + 1), '-') || tail) as other from framed),
+placed as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as n from leaves),
+nodes as (select tree, 0 as level, pos, leaf as node, n from placed
+  union all select tree, level + 1, pos // 2, sha256(string_agg(node, '' order by pos)), any_value((n + 1) // 2) from nodes where n > 1 group by tree, level, pos // 2),
+roots as (select tree, node as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as n from nodes where n = 1),
+upper as (select 0 as level, pos, subroot as node, n from roots
+  union all select level + 1, pos // 2, sha256(string_agg(node, '' order by pos)), any_value((n + 1) // 2) from upper where n > 1 group by level, pos // 2),
+low as (select p.doc_id, p.leaf, p.pos, coalesce(list((case when (p.pos >> l.level) % 2 = 1 then 'l' else 'r' end) || coalesce(s.node, '') order by l.level) filter (where l.n > 1), []) as sib
+  from placed p join (select distinct tree, level, n from nodes) l on l.tree = p.tree
+  left join nodes s on s.tree = p.tree and s.level = l.level and s.pos = xor(p.pos >> l.level, 1) group by all),
+high as (select r.tree, r.subroot, coalesce(list((case when (r.pos >> l.level) % 2 = 1 then 'l' else 'r' end) || coalesce(s.node, '') order by l.level) filter (where l.n > 1), []) as sib
+  from roots r cross join (select distinct level, n from upper) l
+  left join upper s on s.level = l.level and s.pos = xor(r.pos >> l.level, 1) group by all),
+proofs as (select p.doc_id, p.leaf, h.subroot, (select node from upper where n = 1) as root, list_concat(l.sib, h.sib) as sib, case when hit then other else p.leaf end as start
+  from placed p join low l on l.doc_id = p.doc_id and l.leaf = p.leaf and l.pos = p.pos join high h on h.tree = p.tree),
+folded as (select *, list_reduce(list_prepend(start, sib), lambda x, s: sha256(case when s[1] = 'l' then s[2:] || x else x || s[2:] end)) as folded_root from proofs)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sib, lambda s: s[2:]), '')) as proof_sha256, folded_root, folded_root = root as verified from folded
+""",
+    "op13_quality_rules": r"""
+with t as (select doc_id, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+w as (select doc_id, len(words) as n, words from t),
+windows as (select doc_id, k, i, hash(list_slice(words, i, i + k - 1)) as h from (select doc_id, words, k, unnest(range(1, n - k + 2)) as i from w, (values (5), (8), (61)) as s(k))),
+twice as (select doc_id, k, i from (select *, count(*) over (partition by doc_id, k, h) as times from windows) where times > 1),
+inside as (select distinct doc_id, k, unnest(range(i, i + k)) as i from twice where k < 61),
+sums as (select doc_id, count(*) filter (where k = 8) as n_repeat_words, count(*) filter (where k = 5) as covered_words, coalesce(sum(length(words[i])) filter (where k = 5), 0) as covered_chars from inside join w using (doc_id) group by doc_id),
+lines as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from t),
+m as (select t.doc_id, n as n_words, cast(length(array_to_string(t.words, '')) as bigint) as word_chars, cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+  cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(covered_words, 0) as covered_words, cast(coalesce(covered_chars, 0) as bigint) as covered_chars,
+  exists (select 1 from twice where twice.doc_id = t.doc_id and k = 61) as long_repeat from t join w using (doc_id) join lines using (doc_id) left join sums using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, covered_chars, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 2 * covered_chars <= word_chars and not long_repeat as kept from m
 """,
 }
