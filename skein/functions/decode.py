@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html import unescape
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 def _quoted(text: str) -> str:
-    for char, code in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\t", "\\t")):
+    for char, code in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
         text = text.replace(char, code)
     return f"'{text}'"
 
 
 #: The standard library's table of character references as one map literal.
 _NAMED = "map(" + ", ".join(f"{_quoted(k[:-1])}, {_quoted(v)}" for k, v in html5.items() if k.endswith(";")) + ")"
+#: Names that are also read without a semicolon, longest first.
+_OLDEST = "^(" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))) + ")"
+#: What the numbers 0, 13 and 128 to 159 stand for: read off the standard library's own decoder.
+_REPLACED = "map(" + ", ".join(f"{n}, {_quoted(unescape(f'&#{n};'))}" for n in (0, 13, *range(128, 160)) if unescape(f"&#{n};")) + ")"
 #: Characters of any script; controls, unassigned ones and separators but the space are not printable.
 _PRINTABLE = r"[[\P{C}&&\P{Z}] \t\n\r]"
 
@@ -83,9 +88,19 @@ def unicode_unescape(c: Column) -> Column:
     return F.array_join(F.zip_with(parts, chars, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
 
 
+# Soft hyphen, joiners, fillers, zero-width and bidirectional controls, byte order mark.
+INVISIBLE = "[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff]"
+
+
 def strip_invisible(c: Column) -> Column:
-    """Zero-width, bidirectional and soft-hyphen controls."""
-    return F.regexp_replace(c, "[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\u00ad]", "")
+    """Without zero-width, bidirectional and soft-hyphen controls."""
+    return F.regexp_replace(c, INVISIBLE, "")
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode's form NFKC, by the ICU library that Spark brings along; values of ASCII alone don't reach it."""
+    folded = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(F.rlike(c, F.lit(r"[^\x00-\x7F]")), folded).otherwise(c)
 
 
 def fingerprint_form(c: Column) -> Column:
@@ -111,22 +126,54 @@ def squeeze_space(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"[\n\r]{2,}", "\n")
 
 
+#: Segments of a path that are walked together: what a walk carries along is copied at every step, so it must stay short.
+_TOGETHER = 128
+
+
+def _cancelled(text: Column) -> Column:
+    """``text`` (a path's segments, each with its slash) without the names that a later ``..`` takes back; a ``..`` that finds no name moves to the front.
+
+    Blocks of segments are walked from the right, a ``..`` dropping the next name that isn't dropped yet. What a block leaves
+    over for the block before it is known from two counts of each block, so the blocks are walked apart, in linear time.
+    """
+    segments = lambda block: let(F.split(block, "/"), lambda x: F.reverse(F.slice(x, 1, F.size(x) - 1)))
+    state = lambda a, b: F.struct(a.cast("int").alias("dots"), b.alias("rest"))
+
+    def count(now: Column, segment: Column) -> Column:
+        name = F.when(now["dots"] > 0, state(now["dots"] - 1, now["rest"])).otherwise(state(now["dots"], now["rest"] + 1))
+        return F.when(segment == "..", state(now["dots"] + 1, now["rest"])).otherwise(name)
+
+    def walk(now: Column, segment: Column) -> Column:
+        name = F.when(now["dots"] > 0, state(now["dots"] - 1, now["rest"])).otherwise(state(now["dots"], F.concat(segment, F.lit("/"), now["rest"])))
+        return F.when(segment == "..", state(now["dots"] + 1, now["rest"])).otherwise(name)
+
+    def joined(blocks: Column) -> Column:
+        counts = F.transform(blocks, lambda b: F.aggregate(segments(b), state(F.lit(0), F.lit(0)), count))
+        passed = F.aggregate(counts, F.array(F.lit(0)), lambda now, c: F.concat(now, F.array(F.greatest(F.element_at(now, -1) - c["rest"], F.lit(0)) + c["dots"])))
+
+        def made(passed: Column) -> Column:
+            kept = F.transform(blocks, lambda b, k: F.aggregate(segments(b), state(F.get(passed, k), F.lit("")), walk)["rest"])
+            return F.concat(F.repeat(F.lit("../"), F.element_at(passed, -1)), F.array_join(F.reverse(kept), ""))
+
+        return let(passed, made)
+
+    return let(F.reverse(F.regexp_extract_all(text, F.lit(rf"((?:[^/]*+/){{1,{_TOGETHER}}}+)"))), joined)
+
+
 def fold_path(c: Column) -> Column:
     """Back-slashes, repeated slashes, ``/./``, ``/x/../`` and four dots before a slash, each until nothing is left to fold.
 
-    The segments are folded in one pass, each ``..`` taking back the segment before it; four or more dots lose two at a
-    time, so that an even number leaves two and an odd one three.
+    The first segment is never taken back, and the last never takes one. Four or more dots lose two at a time, so that an even
+    number leaves two and an odd one three.
     """
     c = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "/{2,}", "/"), r"/(?:\./)+", "/")
 
-    def folded(parts: Column) -> Column:
-        back = lambda done, s: (s == "..") & (F.size(done) > 1) & ~F.element_at(done, -1).isin("..", "")
-        step = lambda done, s: F.when(back(done, s), F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(s)))
-        inner = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), F.slice(parts, 1, 1), step)
-        return F.array_join(F.concat(inner, F.slice(parts, -1, 1)), "/")
+    def folded(c: Column) -> Column:
+        first, last = F.substring_index(c, "/", 1), F.substring_index(c, "/", -1)
+        inner = F.substr(c, F.length(first) + 2, F.length(c) - F.length(first) - F.length(last) - 1)
+        return F.concat(first, F.lit("/"), _cancelled(inner), last)
 
-    once = let(F.split(c, "/"), folded)
-    c = F.when(F.contains(c, F.lit("/../")), once).otherwise(c)
+    c = let(c, lambda c: F.when(F.contains(c, F.lit("/../")), folded(c)).otherwise(c))
     return F.regexp_replace(F.regexp_replace(c, r"(?<!\.)\.\.(?:\.\.)+(\.?)/", "..$1/"), r"/\.$", "/")
 
 
@@ -151,14 +198,37 @@ def from_code_point(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(F.when(good, n)), 8, "0")), "UTF-32")
 
 
+def numeric_reference(digits: Column, base: int) -> Column:
+    """The character that a numeric reference names in HTML 5: Windows-1252 for the C1 range, U+FFFD for what is no character, nothing for
+    controls and non-characters."""
+    n = F.when(F.length(F.regexp_replace(digits, "^0+", "")) > 8, F.lit(0x110000)).otherwise(F.conv(digits, base, 10).cast("bigint"))
+
+    def char(n: Column) -> Column:
+        replaced = F.try_element_at(F.expr(_REPLACED), n.cast("int"))
+        nothing = n.between(1, 8) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | (n == 0xB) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        unreal = n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        return F.when(unreal, "\ufffd").when(replaced.isNotNull(), replaced).when(nothing, "").otherwise(F.coalesce(from_code_point(n), F.lit("\ufffd")))
+
+    return let(n, char)
+
+
 def html_decode_all(c: Column) -> Column:
-    """Every named (with its semicolon), decimal and hexadecimal character reference; unknown ones stay. One pass."""
-    pattern = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-    number = lambda r: F.when(F.rlike(r, F.lit("^#[xX]")), F.conv(F.substring(r, 3, 6), 16, 10)).otherwise(F.substring(r, 2, 7)).cast("bigint")
-    char = lambda r, named: F.coalesce(F.when(F.startswith(r, F.lit("#")), from_code_point(number(r))).otherwise(F.try_element_at(named, r)), F.concat(F.lit("&"), r, F.lit(";")))
-    parts, found = F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern))
-    chars = let(F.expr(_NAMED), lambda named: F.transform(found, lambda r: char(r, named)))
-    whole = F.array_join(F.zip_with(parts, chars, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+    """Every character reference as browsers read it: named ones, the oldest also without their semicolon and as the beginning of a longer word,
+    decimal and hexadecimal ones. Unknown ones stay. One pass."""
+    pattern = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+    parts, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern))
+
+    def named(r: Column) -> Column:
+        begin = F.regexp_extract(r, _OLDEST, 1)
+        short = F.when(begin != "", F.concat(F.element_at(F.expr(_NAMED), F.when(begin != "", begin).otherwise("amp")), F.substr(r, F.length(begin) + 1)))
+        whole = F.when(F.endswith(r, F.lit(";")), F.try_element_at(F.expr(_NAMED), F.regexp_replace(r, ";$", "")))
+        return F.coalesce(whole, short, F.concat(F.lit("&"), r))
+
+    def char(r: Column) -> Column:
+        digits = F.regexp_replace(r, "^#[xX]?|;$", "")
+        return F.when(F.rlike(r, F.lit("^#[xX]")), numeric_reference(digits, 16)).when(F.startswith(r, F.lit("#")), numeric_reference(digits, 10)).otherwise(named(r))
+
+    whole = F.array_join(F.zip_with(parts, F.transform(found, char), lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
     return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 

@@ -6,32 +6,82 @@ chain once. Values that no step could change don't enter it.
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import decode as D
+from . import patterns as P
 
 STATE = {
     "value": "string", "depth": "int", "attempted": "int", "succeeded": "int", "layers": "int", "unicode": "int", "entities": "int", "base64": "boolean",
     "hex": "boolean", "comments": "int", "concats": "int", "spaces": "boolean", "folded": "boolean", "converged": "boolean", "mark": "int",
 }
 _TRAVERSAL = r"(?i)(?:\.\.[/\\]|%2e%2e|%252e)"
+#: A well-formed character reference: without any, none is decoded.
+_ENTITY = "&(?:[a-zA-Z]+|#[0-9]+|#x[0-9a-fA-F]+);"
 #: A value without any of these is left as it is by every step.
-_MAY_CHANGE = r"[%\\&'/\t\n\r]|[^\x20-\x7E]|  |<!--|^[A-Za-z0-9+/_=-]{8,}$"
+_MAY_CHANGE = r"[%\\&'/\t\n\r]|[^\x20-\x7E]|  |<!--|^ *[A-Za-z0-9+/_=-]{8,} *$"
+
+
+# What makes a decoded text an attack at sight.
+REVEALED = [
+    r"\b(?:sleep|pg_sleep|benchmark)\s*\(", r"\bunion\s+(?:all\s+)?select\b", r"<\s*(?:script|svg|img)\b", r"(?:^|[;&|])\s*(?:cat|id|whoami|curl|wget|bash|sh)\b",
+    r"\{\{[^{}]+\}\}", r"\.\.[/\\]", r"<!doctype|<!entity", r"(?:127\.0\.0\.1|169\.254\.169\.254|metadata\.google\.internal)", r"(?:(?:%(?:\d+\$|\d+)?[spxXdn])){3,}",
+]
+
+
+def entropy_bits(c: Column) -> Column:
+    """Entropy over the characters of a short value, without a shuffle; for long texts use ``features.entropy``."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    n = F.length(c)
+    of = lambda x: D.let(F.size(F.filter(chars, lambda y: y == x)) / n, lambda p: -p * F.log2(p))
+    return F.when(n > 0, F.aggregate(F.transform(F.array_distinct(chars), of), F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
+
+
+def opaque_base64(c: Column) -> Column:
+    """Whether a value looks like Base64 rather than an identifier: a sign of the encoding in it, or length and entropy."""
+    bare = F.trim(c)
+    shaped = (F.length(bare) >= 8) & F.rlike(bare, F.lit("^[A-Za-z0-9+/=_-]+$")) & (F.length(F.regexp_replace(bare, "=+$", "")) % 4 != 1)
+    return shaped & (F.rlike(bare, F.lit("[+/=_-]")) | F.when(F.length(bare) >= 24, entropy_bits(bare) >= 3.5).otherwise(False))
 
 
-@F.pandas_udf(StringType())
-def _nfkc(column: pd.Series) -> pd.Series:
-    return column.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+def base64_reveal(c: Column) -> Column:
+    """What a value that looks like Base64 decodes to, if that is text worth reading; else null.
 
+    Candidates are the value without the signs of the URL alphabet, and with them translated, each as it is and padded. The first one
+    that is an attack at sight or scores over 0.85 is taken, else the best over 0.72; the score is 0.7 for printable text (0.65 of it at
+    least), plus 0.3 of the share by which the entropy fell.
+    """
+    bare = F.trim(c)
+    count = lambda v: F.length(F.regexp_replace(v, "=+$", ""))
+    pads = F.length(bare) - count(bare)
+    missing = F.pmod(-F.length(bare), F.lit(4))
 
-def nfkc(c: Column) -> Column:
-    """NFKC, which Spark has no function for; only values beyond ASCII travel to a worker."""
-    return F.coalesce(_nfkc(F.when(F.rlike(c, F.lit(r"[^\x00-\x7F]")), c)), c)
+    def read(v: Column, given: Column) -> Column:
+        need = F.pmod(-count(v), F.lit(4))
+        padded = F.concat(F.regexp_replace(v, "=+$", ""), F.repeat(F.lit("="), need.cast("int")))
+        raw = F.try_to_binary(F.when((need < 3) & (given >= need), padded), F.lit("base64"))
+        return D.let(raw, lambda b: F.decode(F.when(F.is_valid_utf8(b.cast("string")), b), "UTF-8"))
+
+    dropped, url = F.regexp_replace(bare, "[-_]", ""), F.translate(bare, "-_", "+/")
+    texts = F.array_distinct(F.array_compact(F.array(read(dropped, pads), read(url, pads), read(dropped, pads + missing), read(url, pads + missing))))
+
+    def judged(before: Column) -> Column:
+        ratio = lambda t: F.regexp_count(t, F.lit(D._PRINTABLE)) / F.length(t)
+        seen = lambda t: F.rlike(t, F.lit("(?s)" + P.java("|".join(REVEALED))))
+        fell = lambda t: F.greatest(F.lit(0.0), (before - entropy_bits(t)) / F.greatest(before, F.lit(0.01)))
+        score = lambda t: F.when(seen(t), 2.0).otherwise(0.7 * ratio(t) + 0.3 * fell(t))
+        usable = F.filter(texts, lambda t: (F.length(F.regexp_replace(t, r"(?U)\s", "")) > 0) & (ratio(t) >= 0.65))
+        scored = F.transform(usable, lambda t, i: F.struct(score(t).alias("score"), (-i).alias("place"), t.alias("text")))
+
+        def chosen(all_: Column) -> Column:
+            early = F.filter(all_, lambda x: x["score"] > 0.85)
+            best = F.array_max(all_)
+            return F.when(F.size(early) > 0, F.get(early, F.lit(0))["text"]).when(best["score"] > 0.72, best["text"])
+
+        return D.let(scored, chosen)
+
+    return F.when(opaque_base64(c), D.let(entropy_bits(c), judged))
 
 
 def _set(s: Column, **changes: Column) -> Column:
@@ -73,18 +123,19 @@ def _structural(gate, new, field: str, flag: bool = False):
     return step
 
 
-def restored(c: Column, location: Column | None = None, rounds: int = 5) -> Column:
+def restored(c: Column, location: Column | None = None, rounds: int = 5, unicode: bool = True) -> Column:
     """The state of ``c`` after at most ``rounds`` rounds: what it restores to (``value``) and what happened. Null stays null.
+    ``unicode`` brings NFKC into each round.
 
     ``converged`` tells whether the last round changed nothing."""
     place = F.lit(False) if location is None else F.coalesce(location == "path", F.lit(False))
     steps = [
-        _decoder(D.strip_invisible),
+        _decoder((lambda v: D.strip_invisible(D.nfkc(v))) if unicode else D.strip_invisible),
         _percent,
         _decoder(D.hex_decode, hex=lambda s: F.lit(True)),
-        _decoder(D.base64_decode, base64=lambda s: F.lit(True)),
-        _decoder(D.unicode_unescape, unicode=lambda s: s["unicode"] + F.regexp_count(s["value"], F.lit(r"\\u[0-9A-Fa-f]{4}"))),
-        _decoder(D.html_decode_all, entities=lambda s: s["entities"] + F.regexp_count(s["value"], F.lit("&#?[A-Za-z0-9]+;"))),
+        _decoder(base64_reveal, base64=lambda s: F.lit(True)),
+        _decoder(D.unicode_unescape, unicode=lambda s: s["unicode"] + F.regexp_count(s["value"], F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"))),
+        _decoder(lambda v: F.when(F.rlike(v, F.lit(_ENTITY)), D.html_decode_all(v)), entities=lambda s: s["entities"] + F.regexp_count(s["value"], F.lit(_ENTITY))),
         _structural(lambda v: place | F.rlike(v, F.lit(_TRAVERSAL)), lambda v: (D.fold_path(v), None), "folded", True),
         _structural(lambda v: F.contains(v, F.lit("/*")), D.sql_comments, "comments"),
         _structural(lambda v: F.rlike(v, F.lit(r"<!--|/\*|//")) & ~F.rlike(v, F.lit(r"(?i)^[a-z][a-z0-9+.-]*://")), D.general_comments, "comments"),
@@ -108,20 +159,11 @@ def restored(c: Column, location: Column | None = None, rounds: int = 5) -> Colu
 
 def normalize_fields(df: DataFrame, value: str = "value", location: str | None = "location", unicode: bool = True) -> DataFrame:
     """``df`` with ``restored`` and ``meta`` (the counters of the normaliser)."""
-    text = nfkc(F.col(value)) if unicode else F.col(value)
-    done = df.withColumn("_text", text).withColumn("_state", restored(F.col("_text"), F.col(location) if location else None))
+    done = df.withColumn("_state", restored(F.col(value), F.col(location) if location else None, unicode=unicode))
     meta = F.struct(*(F.col("_state")[k].alias(k) for k in STATE if k not in ("value", "mark")))
     return done.select(*df.columns, F.col("_state")["value"].alias("restored"), meta.alias("meta"))
 
 
-def entropy_bits(c: Column) -> Column:
-    """Entropy over the characters of a short value, without a shuffle; for long texts use ``features.entropy``."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    n = F.length(c)
-    of = lambda x: D.let(F.size(F.filter(chars, lambda y: y == x)) / n, lambda p: -p * F.log2(p))
-    return F.when(n > 0, F.aggregate(F.transform(F.array_distinct(chars), of), F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
-
-
 def decode_features(value: Column, restored_to: Column, meta: Column) -> dict[str, Column]:
     """The features that tell how a value was decoded."""
     before, after = F.length(value), F.length(restored_to)

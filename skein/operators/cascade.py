@@ -16,7 +16,7 @@ LOW, HIGH = 0.05, 0.5
 WARY_NAMES = ["url", "uri", "redirect", "redirect_url", "return", "return_url", "next", "continue", "callback", "file", "path", "template", "cmd", "command", "exec", "query", "sql", "xml", "filename", "upload", "log", "message"]
 PLAIN_VALUES = ["true", "false", "null", "none", "asc", "desc", "zh-cn", "en-us"]
 PLAIN_NUMBER = r"(?U)^[+-]?\d+(?:\.\d+)?\z"
-PLAIN_TEXT = r"(?U)^[\w\-.\u3400-\u9fff ]{1,128}\z"
+PLAIN_TEXT = r"^[\p{L}\p{N}_\-.\u3400-\u9fff ]{1,128}\z"
 CONTROLS = "[<>'\"%\r\n`]"
 
 

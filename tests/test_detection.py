@@ -45,7 +45,7 @@ def test_scores_decide_last(spark):
 
 
 def test_normaliser(spark):
-    cases = {"%2541%20b": "A b", "c2VsZWN0IDEgZnJvbSB4": "select 1 from x", "&lt;b&gt;&eacute;&#x41;&#66;&bogus;": "<b>éAB&bogus;", "UN/**/ION": "UNION", "'a'+'b'": "'ab'", "ｆｕｌｌ": "full", "plain": "plain", "": "", None: None}
+    cases = {"%2541%20b": "A b", "MSB1bmlvbiBzZWxlY3QgMg==": "1 union select 2", "c2VsZWN0IDEgZnJvbSB4": "c2VsZWN0IDEgZnJvbSB4", "&lt;b&gt;&eacute;&#x41;&#66;&bogus;": "<b>éAB&bogus;", "UN/**/ION": "UNION", "'a'+'b'": "'ab'", "ｆｕｌｌ": "full", "plain": "plain", "": "", None: None}
     df = spark.createDataFrame([(v,) for v in cases], "value string")
     assert {r["value"]: r["restored"] for r in N.normalize_fields(df, location=None).collect()} == cases
 
