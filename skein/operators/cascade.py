@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import gates
 from ..functions import patterns as P
 from ..functions.normalize import normalize_fields
+from ..functions.rule_index import RuleIndex, read_rules, rule_hits
 
 LOW, HIGH = 0.05, 0.5
 
@@ -44,23 +45,27 @@ def logistic(decision: Column) -> Column:
     return 1 / (1 + F.exp(-decision))
 
 
-def detect_fields(fields: DataFrame, score: Column | None = None, low: float = LOW, high: float = HIGH) -> DataFrame:
+def detect_fields(fields: DataFrame, score: Column | None = None, low: float = LOW, high: float = HIGH, rules: DataFrame | RuleIndex | None = None) -> DataFrame:
     """Adds verdict, confidence, layer and rule_hits; the first stage that decides wins. ``score`` is a model's (or fused)
-    probability of an attack; where it is null or not given, what no stage decides stays uncertain."""
+    probability of an attack; where it is null or not given, what no stage decides stays uncertain. ``rules`` (id, family, severity,
+    pattern) are tried after the built-in ones, on the raw and on the restored value."""
+    extra = RuleIndex(read_rules(rules)) if isinstance(rules, DataFrame) else rules
+    found = lambda v: rule_hits(v) if extra is None else F.concat(rule_hits(v), extra.hits(v))
+    verdict = lambda hits: P.verdict_of(hits, P.RULES if extra is None else [*P.RULES, *extra.rules])
     name, value, location, restored = F.col("name"), F.col("value"), F.col("location"), F.col("restored")
     df = normalize_fields(fields if score is None else fields.withColumn("_score", score), "value", "location")
     s = F.col("_score") if score is not None else F.lit(None).cast("double")
-    df = df.withColumn("raw_hits", P.rule_hits(value)).withColumn("coded", gates.encoded_hits(value, location))
-    df = df.withColumn("hits", P.rule_hits(restored)).withColumn("context", P.context_hits(name, value, location, restored))
+    df = df.withColumn("raw_hits", found(value)).withColumn("coded", gates.encoded_hits(value, location))
+    df = df.withColumn("hits", found(restored)).withColumn("context", P.context_hits(name, value, location, restored))
     made = lambda v, c, layer, hits: F.struct(F.lit(v).alias("verdict"), (c if isinstance(c, Column) else F.lit(c)).cast("double").alias("confidence"), F.lit(layer).alias("layer"), hits.alias("rule_hits"))
     none = F.array().cast("array<string>")
     least, most = thresholds(location, low, high)
     decided = (
         F.when(gates.may_be_safe_context(value) & gates.safe_context(name, value, location, restored), made("benign", 0.995, "L0-Context", none))
-        .when(P.verdict_of(F.col("raw_hits")) == "attack", made("attack", 0.99, "L1-Raw", F.col("raw_hits")))
+        .when(verdict(F.col("raw_hits")) == "attack", made("attack", 0.99, "L1-Raw", F.col("raw_hits")))
         .when(F.size("coded") > 0, made("attack", 0.99, "L1-Raw", F.col("coded")))
         .when(obviously_benign(name, value, location), made("benign", 0.999, "L0", none))
-        .when(P.verdict_of(F.col("hits")) == "attack", made("attack", 0.99, "L1", F.col("hits")))
+        .when(verdict(F.col("hits")) == "attack", made("attack", 0.99, "L1", F.col("hits")))
         .when(F.size("context") > 0, made("attack", 0.99, "L1-Context", F.col("context")))
         .when(gates.security_discussion(name, value, location, restored), made("benign", 0.995, "L0-Context", none))
         .when(s >= most, made("attack", s, "L2+Text", F.col("hits")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.decode import form_decode, percent_decode
+from ..functions.decode import form_decode, let, percent_decode
 from ..functions.patterns import ROUTINE_HEADERS
 
 FIELD = "array<struct<name:string,value:string,location:string,idx:int>>"
@@ -69,17 +69,15 @@ def explode_urls(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
 
 
 def explode_requests(df: DataFrame, id_col: str, raw_col: str) -> DataFrame:
-    """(id, name, value, location, idx) of raw requests: path, query, form or raw body, headers and cookies."""
+    """(id, name, value, location, idx) of raw requests: path, query, body (multipart, JSON, form or raw), headers and cookies."""
     r = parse_request(F.col(raw_col))
     df = df.select(id_col, *(v.alias(k) for k, v in r.items()))
     target = target_of(F.col("target"))
     path = percent_decode(F.substring_index(target, "?", 1))
     low = lambda h: F.lower(h["name"])
     cookies = F.array_join(F.transform(F.filter("headers", lambda h: low(h) == "cookie"), lambda h: h["value"]), ";")
-    form = F.contains(F.col("body"), F.lit("=")) & ~F.contains(F.col("body"), F.lit("{"))
-    whole = F.array(F.struct(F.lit("body").alias("name"), F.col("body").alias("value"), F.lit("body").alias("location"), F.lit(0).alias("idx")))
     kind = F.array_join(F.transform(F.filter("headers", lambda h: low(h) == "content-type"), lambda h: h["value"]), ";")
-    body = F.when(F.col("body") == "", F.array().cast(FIELD)).when(F.rlike(kind, F.lit("(?i)^multipart/form-data")), multipart_fields(F.col("body"), kind)).when(form, query_fields(F.col("body"), "body").cast(FIELD)).otherwise(whole.cast(FIELD))
+    body = body_fields(F.col("body"), kind)
     return df.select(id_col, F.inline(F.concat(path_fields(path).cast(FIELD), query_fields(query_of(target)).cast(FIELD), body, header_fields(F.col("headers")).cast(FIELD), cookie_fields(cookies).cast(FIELD))))
 
 
@@ -100,22 +98,72 @@ def multipart_fields(body: Column, content_type: Column) -> Column:
     return F.when(usable, F.transform(parts, one)).otherwise(F.array().cast(FIELD)).cast(FIELD)
 
 
-def json_leaves(df: DataFrame, id_col: str, json_col: str, depth: int = 6) -> DataFrame:
-    """(id, name, value): every leaf of a JSON text under its path (``a.b[0]``). What lies deeper than ``depth`` levels is
-    kept as JSON text under its path; texts that aren't JSON give nothing."""
-    level = df.select(F.col(id_col), F.lit("").alias("name"), F.try_parse_json(F.col(json_col)).alias("v"))
-    is_box = F.rlike(F.schema_of_variant("v"), F.lit("^(?:OBJECT|ARRAY)"))
-    level, done = level.where("v is not null"), []
-    for _ in range(depth):
-        done.append(level.where(~is_box))
-        inner = level.where(is_box).withColumnRenamed("v", "box")
-        level = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("box").outer()))
-        path = F.when(F.col("key").isNull(), F.concat("name", F.lit("["), F.col("pos"), F.lit("]"))).when(F.col("name") == "", F.col("key")).otherwise(F.concat("name", F.lit("."), F.col("key")))
-        level = level.select(F.col(id_col), path.alias("name"), F.col("value").alias("v"))
-    leaves = done[0]
-    for d in [*done[1:], level]:
-        leaves = leaves.unionByName(d)
-    return leaves.select(id_col, "name", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"))
+def json_fields(text: Column) -> Column:
+    """One body field for every leaf of a JSON text, named by its path (``a.b[0]``), however deep it lies; null where the text is no JSON or
+    the bare ``null``.
+
+    Boxes are opened level by level inside the row, as many times as the text's brackets nest (strings left out), so nothing is
+    shuffled and no depth is too much. Leaves read as text: booleans as True and False, null as None; numbers lose trailing zeros. The
+    fields of an object come in the order of their names.
+    """
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]++", "")
+    depth = F.struct(F.lit(0).alias("now"), F.lit(1).alias("most"))
+
+    def nest(d: Column, sign: Column) -> Column:
+        now = d["now"] + F.when(sign.isin("{", "["), 1).when(sign.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(d["most"], now).alias("most"))
+
+    levels = F.aggregate(F.split(brackets, ""), depth, nest)["most"]
+
+    def opened(x: Column) -> Column:
+        kind, name = F.schema_of_variant(x["v"]), x["name"]
+        inside = F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>"))
+        pairs = F.transform(inside, lambda e: F.struct(F.when(name == "", e["key"]).otherwise(F.concat(name, F.lit("."), e["key"])).alias("name"), e["value"].alias("v")))
+        items = F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda e, i: F.struct(F.concat(name, F.lit("["), i.cast("string"), F.lit("]")).alias("name"), e.alias("v")))
+        return F.when(F.startswith(kind, F.lit("OBJECT")), pairs).when(F.startswith(kind, F.lit("ARRAY")), items).otherwise(F.array(x))
+
+    def read(v: Column) -> Column:
+        plain = F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+        return F.when(F.is_variant_null(v), "None").when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(plain)).otherwise(plain)
+
+    def leaves(parsed: Column) -> Column:
+        start = F.array(F.struct(F.lit("").alias("name"), parsed.alias("v")))
+        flat = F.aggregate(F.sequence(F.lit(1), levels), start, lambda level, _: F.flatten(F.transform(level, opened)))
+        made = F.transform(flat, lambda x, i: F.struct(x["name"].alias("name"), read(x["v"]).alias("value"), F.lit("body").alias("location"), i.alias("idx")))
+        return F.when(parsed.isNotNull() & ~F.is_variant_null(parsed), made)
+
+    return let(F.try_parse_json(text), leaves).cast(FIELD)
+
+
+def json_leaves(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(id, name, value): every leaf of a JSON text; texts that aren't JSON give nothing."""
+    return df.select(id_col, F.inline(json_fields(F.col(json_col)))).select(id_col, "name", "value")
+
+
+def first_of_each_name(fields: Column) -> Column:
+    """``fields`` with the first one of each name, numbered anew."""
+    named = F.array_sort(F.transform(fields, lambda f: F.struct(f["name"].alias("name"), f["idx"].alias("idx"), f["value"].alias("value"), f["location"].alias("location"))))
+    first = let(named, lambda all_: F.filter(all_, lambda f, i: (i == 0) | (f["name"] != F.get(all_, F.greatest(i - 1, F.lit(0)))["name"])))
+    ordered = F.array_sort(F.transform(first, lambda f: F.struct(f["idx"].alias("idx"), f["name"].alias("name"), f["value"].alias("value"), f["location"].alias("location"))))
+    return F.transform(ordered, lambda f, i: F.struct(f["name"].alias("name"), f["value"].alias("value"), f["location"].alias("location"), i.alias("idx")))
+
+
+def body_fields(body: Column, content_type: Column) -> Column:
+    """The fields of a body: of a multipart form, else the leaves of JSON, else a form's first value of each name, else the whole text if it isn't blank."""
+    text = F.regexp_replace(body, r"(?U)^\s+|\s+$", "")
+    whole = F.when(text == "", F.array().cast(FIELD)).otherwise(F.array(F.struct(F.lit("body").alias("name"), text.alias("value"), F.lit("body").alias("location"), F.lit(0).alias("idx"))).cast(FIELD))
+    form = F.contains(body, F.lit("=")) & ~F.contains(body, F.lit("{"))
+    parts = let(multipart_fields(body, content_type), lambda p: F.when(F.size(p) > 0, p).otherwise(whole))
+    boxed = F.when(F.rlike(text, F.lit(r'^(?:[\[{"\-0-9tf])')), json_fields(body))
+    plain = let(boxed, lambda j: F.coalesce(j, F.when(form, first_of_each_name(query_fields(body, "body")).cast(FIELD)).otherwise(whole)))
+    return F.when(F.rlike(content_type, F.lit("(?i)^multipart/form-data")), parts).otherwise(plain)
+
+
+def target_and_agent(raw: Column) -> Column:
+    """struct(target, agent) of a raw request: what its first line asks for, and its first User-Agent header."""
+    text = F.replace(raw, F.lit("\r\n"), F.lit("\n"))
+    head = F.substring_index(text, "\n\n", 1)
+    return F.struct(F.regexp_extract(head, r"^\S+[ \t]+(\S+)", 1).alias("target"), F.regexp_extract(head, r"(?im)^user-agent:[ \t]*(.*?)[ \t]*$", 1).alias("agent"))
 
 
 def raw_request(method: Column, target: Column, host: Column, body: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.rule_index import rule_hits
 from ..operators import curate, learn, metrics
 from ..sources import corpus
 from ..streaming import traffic
@@ -97,7 +98,7 @@ def g_rule_false_positives(spark, d):
     """Hits of each rule on ordinary traffic: pages, and texts of documents labelled as clean."""
     clean = t(spark, d, "labels").where("toxic = 0").select("doc_id")
     normal = t(spark, d, "documents").join(clean, "doc_id", "left_semi").select("text").union(t(spark, d, "pages").select("html"))
-    return normal.select(F.explode(P.rule_hits(F.col("text"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("false_positives"))
+    return normal.select(F.explode(rule_hits(F.col("text"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("false_positives"))
 
 
 # --- curation -------------------------------------------------------------------------------------------------------

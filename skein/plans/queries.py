@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import decode as D
 from ..functions import features as X
 from ..functions import patterns as P
+from ..functions.rule_index import rule_hits
 from ..operators import cascade, curate, fields, metrics, windows
 from ..streaming import traffic
 
@@ -183,12 +184,12 @@ _HITS = " union all ".join(f"select page_id, '{i}' as rule, '{s}' as severity fr
 
 @query(f"select page_id, rule from ({_HITS})")
 def p_page_rule_hits(spark, d):
-    return t(spark, d, "pages").select("page_id", F.explode(P.rule_hits(F.col("html"))).alias("rule"))
+    return t(spark, d, "pages").select("page_id", F.explode(rule_hits(F.col("html"))).alias("rule"))
 
 
 @query(f"select p.page_id, case when count(*) filter (where h.severity = 'high') > 0 then 'attack' else 'uncertain' end as verdict, count(h.rule) as hits from pages p left join ({_HITS}) h using (page_id) group by p.page_id")
 def p_page_verdicts(spark, d):
-    hits = t(spark, d, "pages").select("page_id", F.inline(F.array(F.struct(P.rule_hits(F.col("html")).alias("hits")))))
+    hits = t(spark, d, "pages").select("page_id", F.inline(F.array(F.struct(rule_hits(F.col("html")).alias("hits")))))
     return hits.select("page_id", P.verdict_of(F.col("hits")).alias("verdict"), F.size("hits").cast("long").alias("hits"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import decode as D
 from skein.functions import patterns as P
+from skein.functions.rule_index import rule_hits
 from skein.operators import cascade, fields, windows
 from skein.plans import queries as plans
 
@@ -45,7 +46,7 @@ def test_layers_and_gates(spark):
 
 @pytest.mark.parametrize("value, verdict", [("1 UNION ALL SELECT 2", "attack"), ("sleep(.5)", "attack"), ("previously unseen syntax", "uncertain"), ("<script>x", "uncertain"), ("<script src='a'>", "attack"), ("aaaaaaaaaaaa.bbb.", "attack"), ("${jndi:x}", "attack"), ("; cat /etc/passwd", "attack"), ("%12$n", "attack"), ("100% of it", "uncertain")])
 def test_rules(spark, value, verdict):
-    assert one(spark, value, P.rule_verdict(F.col("v"))) == (verdict,)
+    assert one(spark, value, P.verdict_of(rule_hits(F.col("v")))) == (verdict,)
 
 
 def test_field_verdicts(spark):
