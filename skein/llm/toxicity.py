@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches
@@ -68,10 +68,15 @@ def g2(p, n, n1: float, n0: float):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """At most ``sample`` rows (id, text, y) of each label, the first in the order of a hash; never held-out rows."""
-    known = training_labels(labels, id_col)
-    chosen = known.where("y = 1").orderBy(F.xxhash64(id_col)).limit(sample).union(known.where("y = 0").orderBy(F.xxhash64(id_col)).limit(sample))
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)  # at most 2 * sample rows
+    """At most ``sample`` rows (id, text, y) of each label among the ids of ``docs``, the first in the order of a hash; never held-out rows.
+
+    An id is one row, however many texts it has: the one of the smallest hash.
+    """
+    ids = docs.select(F.col(id_col)).distinct()
+    known = checkpointed(training_labels(labels, id_col).join(ids, id_col, "left_semi"))
+    chosen = known.where("y = 1").orderBy(F.xxhash64(id_col), id_col).limit(sample).union(known.where("y = 0").orderBy(F.xxhash64(id_col), id_col).limit(sample))
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)  # at most 2 * sample ids
+    return texts.groupBy(id_col).agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.first("y").alias("y"))
 
 
 def one_of_copies(rows: DataFrame) -> DataFrame:
@@ -306,8 +311,8 @@ def fit_linear(x: np.ndarray, p: np.ndarray, rounds: int = 60, ridge: float = 0.
     return w[:-1], float(w[-1])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, entries: int = ENTRIES) -> DataFrame:
-    """(id, held_out, score, predicted, n_voters) for every row of ``docs``.
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, entries: int = ENTRIES, carry: dict[str, Column] | None = None) -> DataFrame:
+    """(id, held_out, score, predicted, n_voters) for every row of ``docs``, and the columns ``carry`` under their names.
 
     Null and empty texts are scored as texts without words; a null id is never held out; repeated rows get equal
     scores; without an entry that passes (no toxic training label, or too few) every score is 0; an empty table gives an
@@ -320,7 +325,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     voters = tuned_voters(found, looked, gold, entries) if found else []
     lexicon = [e for e, *_ in voters]
     m = len(lexicon) + len(PATTERNS)
-    votes = checkpointed(find_votes(docs, lexicon, id_col, text_col).withColumn("speak", speaking(voters)))
+    taken = {f"_carry_{k}": c for k, c in (carry or {}).items()}
+    carried, all_ = list(taken), docs.withColumns(taken) if taken else docs
+    more = "".join(f", {k} {all_.schema[k].dataType.simpleString()}" for k in taken)
+    votes = checkpointed(find_votes(all_, lexicon, id_col, text_col, tuple(taken)).withColumn("speak", speaking(voters)))
     if lexicon:
         patterns = checkpointed(votes.groupBy("speak").agg(F.count("*").alias("n")))
         seen = np.array([[gold.loc[gold["y"] == c, "voters"].map(lambda v: len(found) + k in v).mean() for c in (1, 0)] for k in range(len(PATTERNS))])
@@ -335,8 +343,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             z = features(frame["voters"], frame["uses"], frame["speak"], frame["n_chars"], m) @ w + bias
-            yield pd.DataFrame({"id": frame["id"], "score": 1 / (1 + np.exp(-np.clip(z, -500, 500))) if lexicon else np.zeros(len(frame)), "n_voters": frame["speak"].str.len()})
+            yield pd.DataFrame({"id": frame["id"], "score": 1 / (1 + np.exp(-np.clip(z, -500, 500))) if lexicon else np.zeros(len(frame)), "n_voters": frame["speak"].str.len()} | {k: frame[k] for k in carried})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    done = votes.mapInPandas(score, f"id {kind}, score double, n_voters int").withColumnRenamed("id", id_col)
-    return done.select(id_col, is_held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_voters")
+    done = votes.mapInPandas(score, f"id {kind}, score double, n_voters int{more}").withColumnRenamed("id", id_col)
+    return done.select(id_col, is_held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_voters", *(F.col(k).alias(k.removeprefix("_carry_")) for k in taken))
+
+
+def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose own text isn't called toxic, with or without an id, whatever other rows share that id; in their columns.
+
+    A verdict depends on the text alone, so it is handed back by 128 bits of hash of the text: equal texts go or stay together.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text)).cast("struct<a: bigint, b: bigint>")
+    toxic = score_toxicity(docs, labels, id_col, text_col, carry={"a": key["a"], "b": key["b"]}, **options).where("predicted = 1").select(F.col("a").alias("_toxic_a"), F.col("b").alias("_toxic_b")).distinct()
+    return docs.join(toxic, (key["a"] == F.col("_toxic_a")) & (key["b"] == F.col("_toxic_b")), "left_anti")
