@@ -202,23 +202,3 @@ def framing_flags(raw: Column) -> Column:
         ("invalid_content_length", F.rlike(raw, F.lit(r"(?im)^content-length:[ \t]*+(?!\d+[ \t]*\r?$)"))),
     ]
     return F.array_compact(F.array(*(F.when(test, F.lit(k)) for k, test in named)))
-
-
-def ipv4(c: Column) -> Column:
-    """An IPv4 address as a number; null for anything else."""
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    good = F.rlike(c, F.lit(rf"^{octet}\.{octet}\.{octet}\.{octet}$"))
-    return F.when(good, F.aggregate(F.split(c, r"\."), F.lit(0).cast("bigint"), lambda a, x: a * 256 + x.cast("bigint")))
-
-
-def effective_client(peer: Column, forwarded: Column, trusted: list[str]) -> Column:
-    """The client behind trusted proxies: forwarded hops from right to left until one isn't trusted; a bad one gives the peer."""
-    import ipaddress
-
-    nets = [ipaddress.ip_network(c, strict=False) for c in trusted]
-    ranges = F.array(*(F.struct(F.lit(int(x.network_address)).cast("bigint").alias("lo"), F.lit(int(x.broadcast_address)).cast("bigint").alias("hi")) for x in nets if x.version == 4))
-    inside = lambda a: F.exists(ranges, lambda r: ipv4(a).between(r["lo"], r["hi"])) if nets else F.lit(False)
-    hops = F.reverse(F.transform(F.split(forwarded, ","), lambda h: F.trim(h)))
-    stop = F.get(F.filter(hops, lambda h: ~F.coalesce(inside(h), F.lit(False))), F.lit(0))
-    found = F.when(stop.isNull(), F.get(hops, F.size(hops) - 1)).when(ipv4(stop).isNull(), peer).otherwise(stop)
-    return F.when(F.coalesce(forwarded, F.lit("")) == "", peer).when(~F.coalesce(inside(peer), F.lit(False)), peer).otherwise(found)

@@ -1 +1 @@
-from . import queries, detection, corpus, requests  # noqa: F401, I001 - registers the queries
+from . import queries, detection, corpus, requests, joins, organizing  # noqa: F401, I001 - registers the queries

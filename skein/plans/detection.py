@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import gates as G
 from ..functions import normalize as N
 from ..functions import decode as D
-from ..operators import augment, cascade, fields
+from ..operators import addresses, augment, cascade, fields
 from .queries import _FIELDS, query, t
 
 
@@ -169,7 +169,7 @@ def rq_clients(spark, d):
     even, third = F.col("user_id") % 2 == 0, F.col("user_id") % 3 == 0
     peer = F.when(even | third, "10.0.0.1").otherwise("198.51.100.7")
     forwarded = F.when(even, F.concat(F.lit("1.2.3.4, "), last, F.lit(", 10.1.1.1"))).when(third, F.lit("rubbish")).otherwise("192.0.2.1")
-    return t(spark, d, "events").select("event_id", fields.effective_client(peer, forwarded, ["10.0.0.0/8"]).alias("client"))
+    return t(spark, d, "events").select("event_id", addresses.effective_client(peer, forwarded, ["10.0.0.0/8"]).alias("client"))
 
 
 # --- augmentation ---------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import gates as G
 from skein.functions import normalize as N
-from skein.operators import augment, cascade, fields
+from skein.operators import addresses, augment, cascade, fields
 
 DISCUSSIONS = [
     "SELECT と JOIN の違いは何ですか？ UNION はどう使いますか？",
@@ -53,7 +53,7 @@ def test_normaliser(spark):
 def test_clients_and_carriers(spark):
     rows = [("127.0.0.1", "198.51.100.9, 203.0.113.8, 10.1.2.3"), ("192.0.2.10", "203.0.113.8"), ("127.0.0.1", "junk"), ("127.0.0.1", None), ("127.0.0.1", "10.0.0.1, 10.0.0.2"), ("127.0.0.1", "junk, 203.0.113.8")]
     df = spark.createDataFrame(rows, "peer string, f string")
-    got = [r[0] for r in df.select(fields.effective_client(F.col("peer"), F.col("f"), ["127.0.0.0/8", "10.0.0.0/8"])).collect()]
+    got = [r[0] for r in df.select(addresses.effective_client(F.col("peer"), F.col("f"), ["127.0.0.0/8", "10.0.0.0/8"])).collect()]
     assert got == ["203.0.113.8", "192.0.2.10", "127.0.0.1", "127.0.0.1", "10.0.0.1", "203.0.113.8"]
     raw = "POST / HTTP/1.1\r\nContent-Length: 3\r\nTransfer-Encoding: chunked\r\n\r\nabc"
     flags = spark.createDataFrame([(raw,), (raw + "Content-Length: 4",), ("GET / HTTP/1.1\r\nContent-Length: -1\r\n\r\n",)], "v string").select(fields.framing_flags(F.col("v"))).collect()
