@@ -1,13 +1,11 @@
 """HTML extraction: flat text blocks, classified by a decision tree on their words, links and neighbours.
 
 The tree sees six numbers: word count and share of link text of a block, of the one before and of the one after. It is
-trained on a small labelled table of such blocks and knows no markup. Markup only settles what its calls leave open:
+trained on a small labelled table of such blocks and knows no markup. The text runs from the first block that it calls content to the
+last one, so that headings and short lines between them stay; menus, headers and footers are left to it.
 
-* The text of an article or main element stands or falls together: it stays if blocks with half of its words are called
-  content, so that its headings and short lines stay with it, and where one stays nothing outside of it does.
-* Elements whose name, class or id says that they are menus, notices, adverts, comments and the like are left out, as
-  prose inside them has the same numbers as an article's.
-* Where the tree calls nothing content, an article element is taken as it is.
+Markup can only take away: elements that are asides or forms, or whose class or id says notice, advert, comments and the like, as prose inside them
+has the same numbers as an article's. Where the tree calls nothing content there is no text.
 """
 
 from __future__ import annotations
@@ -27,16 +25,17 @@ from .common import small_batches
 #: Elements that don't end a block, whose text is never text, that are never part of an article, and that make one.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas audio video".split())
-CHROME = frozenset("nav footer aside form menu dialog header".split())
+CHROME = frozenset("aside form dialog".split())
 ARTICLE = frozenset("article main".split())
 FOREIGN = frozenset("svg math path g circle rect line polyline polygon ellipse use defs symbol image stop mi mn mo mrow".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
-#: Words in class, id and role that mark what isn't the article; the second kind is also found on wrappers of whole pages,
-#: and an article below it is one again. A class like has-sidebar or no-comments marks nothing.
-_FIRM = re.compile(r"(?i)(?:^|[_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|comments?|respond|disqus|replies|breadcrumbs?|footer|contentinfo)(?:$|[_-])")
-_SOFT = re.compile(r"(?i)(?:^|[_-])(?:banner|sidebar|side|widget|menu|nav|navbar|navigation|masthead|topbar|toolbar|share|social|related|recommended|pagination|pager|search|login|complementary)(?:$|[_-])")
-_STATE = re.compile(r"(?i)(?:has|no|with|without|is|hide|show)[_-]")
+#: Words in class, id and role that mark what isn't the article; the second kind is also found on wrappers of whole pages, and any article below
+#: it is one again. A name counts as a whole: each of its parts must be such a word or one that only says what shape it has, so that ad-box is marked
+#: and ad-free, comments-open or has-sidebar aren't.
+FIRM = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup comment comments respond disqus replies reply breadcrumb breadcrumbs".split())
+SOFT = frozenset("banner sidebar side widget widgets menu nav navbar navigation masthead topbar toolbar share sharing social related recommended pagination pager search login complementary".split())
+SHAPE = frozenset("area bar block body box btn button buttons card cards col column container content footer form group header holder inner item items left link links list main module outer page panel post right row section site slot text thread title top unit wrap wrapper".split())
 #: Elements that can stand in a head; any other ends it.
 HEAD = frozenset("title style script noscript template meta link base object".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -69,6 +68,7 @@ LABELLED = [
     # other pages: long blocks with few links, and headings and short lines between them
     ((50, 0.2, 0, 0.0, 0, 0.0), 1), ((35, 0.0, 2, 1.0, 3, 0.9), 1), ((9, 0.0, 2, 1.0, 40, 0.0), 1), ((8, 0.0, 3, 0.8, 50, 0.0), 1),
     ((24, 0.0, 16, 0.0, 4, 1.0), 1), ((5, 0.0, 1, 1.0, 50, 0.0), 1), ((7, 0.0, 2, 1.0, 48, 0.0), 1), ((3, 0.0, 1, 1.0, 44, 0.0), 1),
+    ((2, 0.0, 0, 0.0, 0, 0.0), 1), ((12, 0.0, 0, 0.0, 0, 0.0), 1), ((50, 0.0, 0, 0.0, 0, 0.0), 1), ((5, 0.0, 0, 0.0, 50, 0.0), 1), ((8, 0.0, 0, 0.0, 40, 0.0), 1), ((2, 0.0, 0, 0.0, 30, 0.0), 1),
     ((40, 0.1, 3, 0.0, 45, 0.0), 1), ((17, 0.1, 22, 0.1, 25, 0.0), 1), ((50, 0.0, 50, 0.0, 0, 0.0), 1), ((45, 0.1, 30, 0.0, 1, 1.0), 1),
     # other pages: lists of links, and short lines among them
     ((2, 1.0, 2, 1.0, 9, 0.0), 0), ((3, 0.9, 50, 0.0, 4, 0.8), 0), ((10, 0.8, 12, 0.7, 9, 0.9), 0), ((4, 0.0, 2, 1.0, 3, 1.0), 0),
@@ -78,18 +78,19 @@ LABELLED = [
 
 
 def marks(attributes: str) -> int:
-    """0, 1 for a mark that an article inside lifts, 2 for a firm one."""
+    """0, 1 for a mark that any article inside lifts, 2 for a firm one."""
     found = 0
     for a, b, c in _ATTRIBUTE.findall(attributes):
-        for token in (a or b or c).split():
-            if not _STATE.match(token):
-                found = max(found, 2 if _FIRM.search(token) else 1 if _SOFT.search(token) else 0)
+        for token in (a or b or c).lower().split():
+            parts = {x.rstrip("0123456789") for x in re.split("[-_]+", token)} - {""}
+            if parts and parts <= FIRM | SOFT | SHAPE:
+                found = max(found, 2 if parts & FIRM else 1 if parts & SOFT else 0)
     return found
 
 
 def blocks_of(page: str) -> list[tuple[str, int, float, int, int]]:
     """The page's text blocks in order: text, words, share of link text, number of the outermost article (0: none), and
-    how firmly it is marked as something else.
+    how firmly it is marked as something else (0: not at all).
 
     A block is the text between tags that aren't inline. Scripts, styles, comments and other hidden elements have none.
     Elements end with their end tag, or with that of one around them; everything open ends with the page.
@@ -151,14 +152,15 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int]]:
         link |= tag == "a"
         mark = marks(m[3]) if m[3] and tag not in ("html", "body") else 0
         if tag in ARTICLE:
-            if chrome == 1:
+            if chrome == 1 or chrome == 2 and (tag == "main" or not articles):  # the first article of a page is one wherever it stands
                 chrome = 0
             if not article:
                 articles += 1
                 article = articles
-            mark = 2 * (mark == 2 and tag == "article" and chrome < 2 and article != articles)  # a comment inside an article
-        if tag in CHROME and not (tag == "header" and article and not chrome):
-            mark = 2
+                mark = 0
+            mark = 2 * (mark == 2 and tag == "article")  # a comment inside an article
+        if tag in CHROME:
+            mark = 3
         chrome = max(chrome, mark)
         if tag in RAW:  # their content is no markup
             close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
@@ -192,22 +194,10 @@ def decide(tree, x: tuple[float, ...]) -> int:
 
 
 def main_text(page: str, tree) -> str:
+    """The blocks from the first to the last one that the tree calls content, less the marked ones, joined by a space."""
     blocks = blocks_of(page)
-    content = [bool(decide(tree, x)) for x in features_of(blocks)]
-    words: dict[int, list[int]] = {}
-    for (_, n, _, article, chrome), is_content in zip(blocks, content):
-        if article and not chrome:
-            both = words.setdefault(article, [0, 0])
-            both[0] += n
-            both[1] += n * is_content
-    stay = {k for k, (n, called) in words.items() if 2 * called >= n}
-    if not stay and words and not any(c and not b[4] for b, c in zip(blocks, content)):
-        stay = {max(words, key=lambda k: (words[k][0], -k))}
-    if stay:
-        kept = [b[0] for b in blocks if b[3] in stay and not b[4]]
-    else:
-        kept = [b[0] for b, c in zip(blocks, content) if c and not b[4]]
-    return " ".join(kept)
+    called = [k for k, (b, x) in enumerate(zip(blocks, features_of(blocks))) if not b[4] and decide(tree, x)]
+    return " ".join(b[0] for b in blocks[called[0] : called[-1] + 1] if not b[4]) if called else ""
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", tree=None) -> DataFrame:

@@ -317,7 +317,9 @@ def test_html(spark, data):
         f"<section id='related-work'><article>{inner}</article></section>",
         f"<article>{inner}<div class=comments><article class=comment><p>{body}</p></article></div></article>",
         f"<main><article>{inner}</article><aside><article><p>{body}</p></article></aside></main>",
-        f"<article><div class='ad-box'><p>{body}</p></div>{inner}</article><div><p>{body}</p></div>",
+        f"<article><div class='ad-box'><p>{body}</p></div>{inner}</article>",
+        *(f"<div class='{c}'>{menu}<article>{inner}</article></div>" for c in ("page ad-free", "post comments-open", "layout subscribe-box-off", "content notice-free", "single-post cookies-accepted", "comments")),
+        f"{menu}<div>{inner}</div><footer><p>Copyright by us</p></footer>",
     ):
         assert html_blocks.main_text(wrapped, tree) == text, wrapped[:80]
     huge = f"{menu}<article><h1>Title</h1>{'<p>' + 'word ' * 200_000}</article><footer>End</footer>"
@@ -331,19 +333,14 @@ def test_html(spark, data):
     assert html_blocks.extract_pages(few.limit(0)).count() == 0
 
 
-def test_blocks_are_told_apart_by_words_and_links_alone(spark, data):
-    """The tree sees no markup; where elements lose their names, most pages still come out as they are."""
-    tree = html_blocks.learn_tree(spark)
-    assert len(html_blocks.FEATURES) == 6
-    right = blocks = same = 0
-    pages = [r[0] for r in common.table(spark, data, "pages").select("html").collect()]
-    for page in pages:
-        found = html_blocks.blocks_of(page)
-        for b, x in zip(found, html_blocks.features_of(found)):
-            blocks, right = blocks + 1, right + (html_blocks.decide(tree, x) == int(b[3] > 0 and not b[4]))
-        bare = re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", page))
-        same += html_blocks.main_text(bare, tree) == html_blocks.main_text(page, tree)
-    assert right / blocks > 0.97 and same / len(pages) > 0.55
+def test_the_tree_decides(spark):
+    """On all pages of sf0.1 the learned tree's text is the article; a tree that calls everything or nothing content fails on nearly all."""
+    pages = [r[0] for r in common.table(spark, "/root/testdata/sf0.1", "pages").select("html").collect()]
+    articles = [re.search("<article>(.*)</article>", p, re.S)[1] for p in pages]
+    wanted = [" ".join(__import__("html").unescape(re.sub("<(?!/?b>)[^>]*>", " ", re.sub("</?b>", "", a))).split()) for a in articles]
+    exact = lambda tree: sum(html_blocks.main_text(p, tree) == w for p, w in zip(pages, wanted)) / len(pages)
+    assert len(html_blocks.FEATURES) == 6 and exact(html_blocks.learn_tree(spark)) == 1.0
+    assert exact(0) < 0.05 and exact(1) < 0.05
 
 
 def test_digest_of_turns(spark, data):
