@@ -128,11 +128,16 @@ def may_be_safe_context(value: Column) -> Column:
     return F.contains(value, F.lit("?")) | F.contains(F.lower(value), F.lit("&lt;")) | _any_of(F.lower(value), TECHNICAL_DISCUSSION)
 
 
+# Control characters and format strings as they show under encodings.
+ENCODED_CONTROL = r"(?i)(?:%0d|%0a|\\r\\n|\\n\\r|[\r\n])"
+ENCODED_FORMAT = r"(?:%(?:\d+\$|\d+)?[spxXdn]){3,}"
+
+
 def encoded_hits(value: Column, location: Column) -> Column:
     """Control characters and format strings under a few layers of encoding."""
     seen = peeled(value)
-    control = location.isin("query", "header", "cookie") & F.exists(seen, lambda x: F.rlike(x, F.lit(r"(?i)(?:%0d|%0a|\\r\\n|\\n\\r|[\r\n])")))
-    write = F.exists(seen, lambda x: F.rlike(x, F.lit(r"(?:%(?:\d+\$|\d+)?[spxXdn]){3,}")))
+    control = location.isin("query", "header", "cookie") & F.exists(seen, lambda x: F.rlike(x, F.lit(ENCODED_CONTROL)))
+    write = F.exists(seen, lambda x: F.rlike(x, F.lit(ENCODED_FORMAT)))
     return F.array_compact(F.array(F.when(control, F.lit("encoded_control_character_injection")), F.when(write, F.lit("encoded_format_string"))))
 
 

@@ -55,6 +55,18 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, share: float) -> Data
     return upto.where(F.col("n") >= at).groupBy(*by).agg(F.round(F.min(value), 3).alias(value))
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, *shares): interpolated percentiles of each group, from counts per distinct value: no task holds the values of a whole group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
+    upto = running(counts.withColumn("_s", -F.col(value)), by, "_s", ["n"]).join(total, by)
+    at = {k: (F.col("_all") - 1) * share for k, share in shares.items()}
+    least = lambda rank: F.min(F.when(F.col("n") >= rank + 1, F.col(value)))
+    ends = [c for k, r in at.items() for c in (least(F.floor(r)).alias(f"_lo_{k}"), least(F.ceil(r)).alias(f"_hi_{k}"))]
+    both = upto.groupBy(*by, "_all").agg(*ends)
+    return both.select(*by, *((F.col(f"_lo_{k}") + (r - F.floor(r)) * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k) for k, r in at.items()))
+
+
 def weights(first: float, last: float, n: int = 17) -> list[float]:
     return [round(first + (last - first) * k / (n - 1), 6) for k in range(n)]
 

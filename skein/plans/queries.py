@@ -293,16 +293,23 @@ def g_operating_points(spark, d):
     return metrics.operating_points(labelled(spark, d), "toxic", "score")
 
 
-@query("select event_type, count(*) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, max(value) as most from events group by event_type")
+_SHARES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+@query("select event_type, count(*) as n, round(avg(value), 6) as mean, " + ", ".join(f"round(quantile_cont(value, {p}), 6) as {k}" for k, p in _SHARES.items()) + ", max(value) as most from events group by event_type")
 def g_latency(spark, d):
-    q = lambda p: F.round(F.percentile("value", p), 6)
-    return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max("value").alias("most"))
+    e = t(spark, d, "events")
+    whole = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    found = metrics.percentiles(e, ["event_type"], "value", _SHARES)
+    return whole.join(found, "event_type").select("event_type", "n", "mean", *(F.round(k, 6).alias(k) for k in _SHARES), "most")
 
 
 @query("select source, lang, grouping_id(source, lang) as level, count(*) as n, sum(n_chars) as chars from documents group by grouping sets ((source, lang), (source), (lang), ())")
 def g_corpus_counts(spark, d):
-    t(spark, d, "documents").createOrReplaceTempView("corpus_documents")
-    return spark.sql("select source, lang, grouping_id(source, lang) as level, count(*) as n, sum(n_chars) as chars from corpus_documents group by grouping sets ((source, lang), (source), (lang), ())")
+    docs = t(spark, d, "documents")
+    source, lang = F.col("source"), F.col("lang")
+    sets = docs.groupingSets([[source, lang], [source], [lang], []], source, lang)
+    return sets.agg(F.grouping_id("source", "lang").alias("level"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("select count(*) as records, count(distinct sha256(text)) as contents, (select count(*) from (select sha256(text) from documents join labels using (doc_id) group by 1 having count(distinct toxic) > 1)) as conflicts from documents")
