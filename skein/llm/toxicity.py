@@ -79,6 +79,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts.groupBy(id_col).agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.first("y").alias("y"))
 
 
+def first_by_hash(rows: DataFrame, id_col: str, ties: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows in the order of a hash of their id. Only rows below twice the hash that so many are expected under are ordered, so that
+    partitions hand over few rows each and not ``limit``; where these are too few, all are."""
+    n = rows.count()
+    cut = -(1 << 63) + min((1 << 64) - 1, 2 * limit * (1 << 64) // max(n, 1))
+    near = rows.where(F.xxhash64(id_col) <= F.lit(cut))
+    return (near if near.count() >= min(limit, n) else rows).orderBy(F.xxhash64(id_col), *ties).limit(limit)
+
+
 def one_of_copies(rows: DataFrame) -> DataFrame:
     """(text, y): of the sample's rows of one class whose words of 8 letters or more have the same smallest hash, one:
     near copies are no independent evidence for what they all contain."""
@@ -334,7 +343,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         seen = np.array([[gold.loc[gold["y"] == c, "voters"].map(lambda v: len(found) + k in v).mean() for c in (1, 0)] for k in range(len(PATTERNS))])
         toward = np.r_[np.ones(len(lexicon)), seen[:, 0] > 8 * seen[:, 1]].astype(int)
         prior, _, weight, shared = label_model(patterns, toxic_share(labels, id_col), toward)
-        chosen = votes.where(~is_held_out("id")).orderBy(F.xxhash64("id"), "n_chars", "voters").limit(2 * sample).select("voters", "uses", "speak", "n_chars").toPandas()
+        chosen = first_by_hash(votes.where(~is_held_out("id")), "id", ["n_chars", "voters"], 2 * sample).select("voters", "uses", "speak", "n_chars").toPandas()
         p = posterior(votes_matrix(chosen["speak"], m), prior, weight, shared)
         w, bias = fit_linear(features(chosen["voters"], chosen["uses"], chosen["speak"], chosen["n_chars"], m), p)
     else:

@@ -46,6 +46,14 @@ def test_one_id_with_many_texts_collects_no_more(spark, data):
     assert toxicity.one_of_copies(sample).count() <= sample.count()
 
 
+@pytest.mark.parametrize("rows", ["id", "0", "if(id % 3 = 0, 5, id)"])
+def test_first_by_hash(spark, rows):
+    df = spark.range(3000).selectExpr(f"{rows} as id", "id as tie")
+    want = [tuple(r) for r in df.orderBy(F.xxhash64("id"), "tie").limit(100).collect()]
+    assert [tuple(r) for r in toxicity.first_by_hash(df, "id", ["tie"], 100).collect()] == want
+    assert toxicity.first_by_hash(df, "id", ["tie"], 10**6).count() == 3000 and toxicity.first_by_hash(df.limit(0), "id", ["tie"], 5).count() == 0
+
+
 def test_mixing_and_pieces(spark, data):
     import sentencepiece
 
