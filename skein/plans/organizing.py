@@ -15,8 +15,12 @@ _RECORDS = """r as (select d.doc_id, case when d.doc_id % 13 = 0 then 7 else coa
  k as (select *, case when reason is not null then reason when material = '' and label = 1 and doc_id % 7 = 0 then 'invalid attack type' end as why from j)"""
 
 
+#: Bytes of text of a file of records, more or less: a file is an array that one task holds.
+FILE = 1 << 22
+
+
 def _files(spark, d):
-    """Files of JSON arrays, eight with records of every kind and one that is no JSON."""
+    """Files of JSON arrays of some ``FILE`` bytes of text, as many as that takes and eight at least, with records of every kind, and one that is no JSON."""
     doc, label = F.col("doc_id"), F.when(F.col("doc_id") % 13 == 0, 7).otherwise(F.coalesce("toxic", F.lit(0)))
     docs = t(spark, d, "documents").join(t(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
     text = F.when(doc % 11 == 0, "").otherwise(F.col("text"))
@@ -25,8 +29,10 @@ def _files(spark, d):
         F.when(doc % 3 == 1, text).alias("payload"), F.when(doc % 3 == 0, text).alias("raw_request"), F.when(doc % 3 == 2, text).alias("conversation"), (doc % 5 == 0).alias("is_encoding_variant"), doc.alias("doc_id"),
     )
     folder = corpus.scratch(spark)
-    arrays = docs.groupBy((doc % 8).alias("k")).agg(F.to_json(F.collect_list(record)).alias("value"))
-    arrays.repartition(8, "k").select("value").write.option("compression", "none").text(f"{folder}/data_validation")
+    files = max(8, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE)
+    dealt = docs.withColumn("k", F.pmod(F.xxhash64("doc_id", "text"), F.lit(files))).repartition(files, "k")
+    arrays = dealt.groupBy("k").agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.select("value").write.option("compression", "none").option("maxRecordsPerFile", 1).text(f"{folder}/data_validation")
     spark.range(1).select(F.lit('[{"label": 1').alias("value")).coalesce(1).write.text(f"{folder}/broken")
     return folder
 
