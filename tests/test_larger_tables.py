@@ -38,3 +38,9 @@ def test_names_whose_base64_scores_low(spark, tmp_path):
     low = spark.createDataFrame([("Q3VzdG9tZXIjMDAwMDEzMjQ3",)], "value string")
     assert N.normalize_fields(low, location=None).first()["restored"] == "Q3VzdG9tZXIjMDAwMDEzMjQ3"
     assert twin(spark, f"{tmp_path}/t", "a_restoration", customer=customer) is None
+
+
+def test_short_and_missing_texts_come_back(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Re."), (2, ""), (3, None), (4, "é"), (5, "All"), (6, "\x01\x02\x03")], "doc_id long, text string")
+    for name in ("u_base64_round_trip", "u_hex_round_trip", "u_unicode_round_trip"):
+        assert twin(spark, f"{tmp_path}/{name}", name, documents=docs) is None
