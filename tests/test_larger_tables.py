@@ -44,3 +44,9 @@ def test_short_and_missing_texts_come_back(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Re."), (2, ""), (3, None), (4, "é"), (5, "All"), (6, "\x01\x02\x03")], "doc_id long, text string")
     for name in ("u_base64_round_trip", "u_hex_round_trip", "u_unicode_round_trip"):
         assert twin(spark, f"{tmp_path}/{name}", name, documents=docs) is None
+
+
+def test_clients_whose_number_fits_no_group(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    many = events.union(events.withColumn("user_id", F.col("user_id") + 65_530)).union(events.withColumn("user_id", F.col("user_id") + 9_000_000))
+    assert many.where("user_id > 65535 and user_id < 70000").count() and twin(spark, f"{tmp_path}/t", "rq_clients_of_both_families", events=many) is None
