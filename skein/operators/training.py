@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.decode import let
 from ..functions.features import densest_window, entropy, text_features
 from ..functions.normalize import decode_features, normalize_fields
 from . import curate, learn, metrics
@@ -38,9 +40,25 @@ def eligible(level: Column, allowed: Column, payload: Column, duplicate: Column
 
 
 def gram_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, gram, n): how often each n-gram stands in a row's text. All n-grams of a row come out of one task, so they are summed there."""
-    grams = F.explode(learn.char_ngrams(F.col(text_col), SHORTEST, LONGEST)).alias("gram")
-    return df.select(F.col(id_col).alias("id"), grams).groupBy("id", "gram").agg(F.count("*").alias("n"))
+    """(id, gram, n): how often each n-gram stands in the texts of an id. They are counted inside a row: neither shuffled nor held by a task."""
+    return _grams(df, id_col, text_col).select("id", F.inline(_counted(F.col("grams"))))
+
+
+def _grams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, times, grams): the rows of each id and the n-grams of their texts. Of these only the texts are shuffled."""
+    texts = df.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("times"), F.collect_list(text_col).alias("texts"))
+    return texts.select("id", "times", F.flatten(F.transform("texts", lambda t: learn.char_ngrams(t, SHORTEST, LONGEST))).alias("grams"))
+
+
+def _counted(grams: Column) -> Column:
+    """array<struct(gram, n)> of the different elements of an array, by the runs of the sorted one; null for an empty one."""
+
+    def runs(held: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (F.get(held, i) != F.get(held, i - 1)))
+        length = lambda at, i, k: F.coalesce(F.get(at, k + 1), F.size(held)) - i
+        return let(begins, lambda at: F.transform(at, lambda i, k: F.struct(F.get(held, i).alias("gram"), length(at, i, k).cast("long").alias("n"))))
+
+    return F.when(F.size(grams) > 0, let(F.sort_array(grams), runs))
 
 
 def vocabulary(counts: DataFrame, rows: int, most: int = VOCABULARY, least: int = LEAST_ROWS) -> DataFrame:
@@ -63,6 +81,22 @@ def weighed_texts(counts: DataFrame, words: DataFrame, size: int, ids: DataFrame
     return both.select("id", vector(F.col("cells.at"), F.col("w")).alias("x"))
 
 
+def text_vectors(df: DataFrame, id_col: str, text_col: str, words: DataFrame, size: int) -> DataFrame:
+    """(id, x) for every row of ``df``: ``weighed_texts`` straight from the texts. A row's n-grams are looked up and weighed inside it, in the
+    vocabulary, whose size is bounded and which goes through the driver."""
+    known = words.select("gram", "idf").orderBy("at").collect()
+    idf = np.array([r["idf"] for r in known])
+    grams = _grams(df, id_col, text_col).withColumn("grams", F.when(F.col("id").isNotNull() & F.lit(bool(known)), F.col("grams")).otherwise(F.array().cast("array<string>")))
+    counted = CountVectorizerModel.from_vocabulary([r["gram"] for r in known] or [""], inputCol="grams", outputCol="n").transform(grams)
+
+    def weighed(n):
+        w = (1 + np.log(n.values)) * idf[n.indices] if n.indices.size else n.values
+        return Vectors.sparse(size, n.indices, w / np.sqrt(w @ w) if w.size else w)
+
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+    return counted.select("id", F.udf(weighed, VectorUDT())("n").alias("x"), each.alias("_time")).drop("_time")
+
+
 def all_features(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
     """``df`` with the 38 features of a text: counts and ratios, entropies, the densest window, and how it decodes. Their names too."""
     value = F.coalesce(F.col(text_col), F.lit(""))

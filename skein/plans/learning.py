@@ -27,9 +27,8 @@ def l_vocabulary(spark, d):
 @query(f"with {_GRAMS}, w as (select g.id, (1 + ln(g.n)) * v.idf as w from g join v using (gram)), s as (select id, sqrt(sum(w * w)) as norm, max(w) as most, sum(w) as total, count(*) as cells from w group by id) select p_partkey, coalesce(cells, 0) as cells, coalesce(round(most / norm, 9), 0) as most, coalesce(round(total / norm, 9), 0) as total from part left join s on id = p_partkey")
 def l_text_weights(spark, d):
     """Rows as vectors of length 1 over that vocabulary."""
-    parts = t(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    counts = _counts(spark, d)
-    words = training.vocabulary(counts, parts.count(), WORDS).persist()
-    x = training.weighed_texts(counts, words, WORDS, parts).select("id", vector_to_array("x").alias("x"))
+    parts = t(spark, d, "part")
+    words = training.vocabulary(_counts(spark, d), parts.count(), WORDS)
+    x = training.text_vectors(parts, "p_partkey", "p_name", words, WORDS).select("id", vector_to_array("x").alias("x"))
     total = F.aggregate("x", F.lit(0.0), lambda a, w: a + w)
     return x.select(F.col("id").alias("p_partkey"), F.size(F.filter("x", lambda w: w != 0)).cast("long").alias("cells"), F.round(F.array_max("x"), 9).alias("most"), F.round(total, 9).alias("total"))

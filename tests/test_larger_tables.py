@@ -1,13 +1,17 @@
 """Queries on rows that only larger tables hold: short texts, large keys, many bytes."""
 
 import os
+import re
 
 from compare import TABLES, connect, differences
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from skein.functions import decode as D
+from skein.functions import features as X
 from skein.functions import normalize as N
-from skein.plans import organizing
+from skein.operators import training
+from skein.plans import detection, organizing, requests
 
 
 def twin(spark, folder, name, **tables):
@@ -50,3 +54,22 @@ def test_clients_whose_number_fits_no_group(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     many = events.union(events.withColumn("user_id", F.col("user_id") + 65_530)).union(events.withColumn("user_id", F.col("user_id") + 9_000_000))
     assert many.where("user_id > 65535 and user_id < 70000").count() and twin(spark, f"{tmp_path}/t", "rq_clients_of_both_families", events=many) is None
+
+
+def test_grams_are_counted_inside_rows(spark):
+    rows = [(1, "aba ab"), (1, "aba"), (2, ""), (3, None), (None, "zz zz"), (4, "x")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    counts = training.gram_counts(df, "id", "text")
+    assert "gram" not in "".join(re.findall(r"hashpartitioning\(.*", counts._jdf.queryExecution().executedPlan().toString()))
+    got = {(r["id"], r["gram"]): r["n"] for r in counts.collect()}
+    assert got[1, "ab"] == 3 and got[1, "aba"] == 2 and got[None, "zz"] == 2 and {i for i, _ in got} == {1, None}
+
+
+def test_vectors_straight_from_texts(spark):
+    rows = [(1, "select a"), (1, "select"), (2, ""), (3, None), (4, "selects sel"), (5, "zzz")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    counts = training.gram_counts(df, "id", "text")
+    words = training.vocabulary(counts, 5, most=20)
+    made, want = (sorted((r["id"], [round(v, 12) for v in r["x"].toArray()]) for r in d.collect()) for d in (training.text_vectors(df, "id", "text", words, 20), training.weighed_texts(counts, words, 20, df)))
+    assert made == want and len(made) == len(rows) and any(made[0][1])
+    assert not any(v for r in training.text_vectors(df, "id", "text", words.limit(0), 20).collect() for v in r["x"].toArray())
