@@ -73,3 +73,10 @@ def test_vectors_straight_from_texts(spark):
     made, want = (sorted((r["id"], [round(v, 12) for v in r["x"].toArray()]) for r in d.collect()) for d in (training.text_vectors(df, "id", "text", words, 20), training.weighed_texts(counts, words, 20, df)))
     assert made == want and len(made) == len(rows) and any(made[0][1])
     assert not any(v for r in training.text_vectors(df, "id", "text", words.limit(0), 20).collect() for v in r["x"].toArray())
+
+
+def test_a_run_of_escapes_is_one_match(spark):
+    row = ("\\u0041" * 300_000 + "x\\ud83d\\ude00\\u0042\\U0001F600 \\u00e9\\", "A" * 300_000 + "x\U0001f600B\U0001f600 é\\")
+    df = spark.createDataFrame([row], "coded string, text string")
+    assert df.where(D.unicode_unescape(F.col("coded")) == F.col("text")).count() == 1
+    assert df.select(F.regexp_count("coded", F.lit(D.ESCAPES))).first()[0] == 4
