@@ -9,8 +9,9 @@ from . import patterns as P
 
 
 def ratio(c: Column, chars: str) -> Column:
+    """The share of the characters of a class, by what is left without their runs: no match is made for each of them."""
     n = F.length(c)
-    return F.when(n > 0, F.regexp_count(c, F.lit(chars)) / n).otherwise(0.0)
+    return F.when(n > 0, (n - F.length(F.regexp_replace(c, f"{chars}++", ""))) / n).otherwise(0.0)
 
 
 def text_features(c: Column) -> dict[str, Column]:
@@ -33,7 +34,7 @@ def text_features(c: Column) -> dict[str, Column]:
         "max_token_len": F.coalesce(F.array_max(F.transform(tokens, lambda t: F.length(t))), F.lit(0)).cast("double"),
         "whitespace_ratio": ratio(c, r"[ \t\n\r]"),
         "non_printable_ratio": ratio(c, r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ \n\r\t]]"),
-        "sql_keyword_hits": (P.times(c, P.SQL_WORDS) + P.times(c, P.SQL_FUNCTIONS)).cast("double"),
+        "sql_keyword_hits": (P.times(c, P.SQL_WORDS, first="ABCDEFGHILOSUW") + P.times(c, P.SQL_FUNCTIONS)).cast("double"),
         "xss_keyword_hits": (P.times(c, P.XSS_WORDS) + P.times(c, P.XSS_TAGS)).cast("double"),
         "cmdi_keyword_hits": P.times(c, P.SHELL_WORDS).cast("double"),
         "ssti_pattern_hits": P.times(c, P.TEMPLATES, False).cast("double"),
@@ -43,8 +44,8 @@ def text_features(c: Column) -> dict[str, Column]:
         "xss_structure_score": F.round(F.least(xss_score, F.lit(1.0)), 6),
         "balanced_quote_ratio": F.lit(1.0) - 0.5 * (singles % 2) - 0.5 * (doubles % 2),
         "balanced_paren_ratio": F.when(opens == closes, 1.0).otherwise(F.least(opens, closes) / F.greatest(opens, closes, F.lit(1))),
-        "sensitive_path_hits": P.times(c, P.SENSITIVE_PATHS).cast("double"),
-        "ip_addr_hits": P.times(c, P.INTERNAL_IPS, False).cast("double"),
+        "sensitive_path_hits": P.times(c, P.SENSITIVE_PATHS, first="/C").cast("double"),
+        "ip_addr_hits": P.times(c, P.INTERNAL_IPS, False, first="1").cast("double"),
     }
 
 

@@ -80,3 +80,13 @@ def test_a_run_of_escapes_is_one_match(spark):
     df = spark.createDataFrame([row], "coded string, text string")
     assert df.where(D.unicode_unescape(F.col("coded")) == F.col("text")).count() == 1
     assert df.select(F.regexp_count("coded", F.lit(D.ESCAPES))).first()[0] == 4
+
+
+def test_counts_of_characters_and_known_beginnings(spark):
+    text = "aé\U00010400 1٣ \t\n it's; 10.1.2.3 x127.0.0.1 192.168.0.1 SELECT selecting drop_ (group\tby) /etc/passwd c:\\windows"
+    df = spark.createDataFrame([(text,), ("",)], "text string")
+    made = X.text_features(F.col("text"))
+    row = df.select("text", *(made[k].alias(k) for k in ("alpha_ratio", "digit_ratio", "whitespace_ratio", "ip_addr_hits", "sensitive_path_hits", "sql_keyword_hits"))).collect()
+    count = lambda test: sum(map(test, text)) / len(text)
+    assert row[0][1:] == (count(str.isalpha), count(str.isdecimal), count(lambda c: c in " \t\n\r"), 2.0, 2.0, 2.0) and row[1][1:] == (0.0,) * 6
+    assert "regexp_count" not in str(made["alpha_ratio"])
