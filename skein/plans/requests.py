@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.extension_rules import EXTENSION_RULES
 from ..functions.rule_index import measured_index, read_rules
 from ..operators import cascade, fields
-from .queries import query, t
+from .queries import query, spread, t
 
 
 def _lit(text: str) -> str:
@@ -69,7 +69,7 @@ def rules_table(spark):
 
 
 def _values(spark, d):
-    return t(spark, d, "customer").select("c_custkey", F.concat("c_name", _picked(F.col("c_custkey"), _SNIPPETS)).alias("value"))
+    return spread(t(spark, d, "customer").select("c_custkey", "c_name")).select("c_custkey", F.concat("c_name", _picked(F.col("c_custkey"), _SNIPPETS)).alias("value"))
 
 
 @query(f"select v.c_custkey, string_agg(r.id, ',' order by r.id) as hits from {_VALUES} v join {_RULE_ROWS} on regexp_matches(v.value, r.pattern) group by v.c_custkey")

@@ -90,3 +90,9 @@ def test_counts_of_characters_and_known_beginnings(spark):
     count = lambda test: sum(map(test, text)) / len(text)
     assert row[0][1:] == (count(str.isalpha), count(str.isdecimal), count(lambda c: c in " \t\n\r"), 2.0, 2.0, 2.0) and row[1][1:] == (0.0,) * 6
     assert "regexp_count" not in str(made["alpha_ratio"])
+
+
+def test_short_values_are_dealt_over_the_cores(spark):
+    """A small file is one task's; the values that the normaliser and the cascade read are not."""
+    for values in (detection._names(spark, "/root/testdata/sf0.1"), requests._values(spark, "/root/testdata/sf0.1")):
+        assert values.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
