@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_runs, checkpointed, components, small, small_batches, starts
-from .simhash import bit_counts
+from .simhash import bit_counts, near_duplicates
 
 #: 64-bit words of a fingerprint.
 WORDS = 8
@@ -154,10 +154,21 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.collect_set("head").alias("firsts"))
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, shingle: int = 5) -> DataFrame:
+def _fingerprint_heads(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, firsts): the smallest node of each node's class of operator 3, by its fingerprints in pigeonhole blocks. No text is shuffled."""
+    at = F.xxhash64("row").alias("at")
+    classes = near_duplicates(keyed.select(at, "text"), "at", "text").select("at", "component_id").distinct()
+    held = nodes.select("node", at).join(classes, "at")
+    heads = held.groupBy("component_id").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head != last")
+    return held.join(heads, "component_id").where("node != head").select("node", F.array("head").alias("firsts"))
+
+
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, shingle: int = 5, fingerprints: bool = False) -> DataFrame:
     """(row, id, node, component) for every row of ``docs``: row its ``row_key``, node the hash of its shingle set,
     component the smallest node reachable over pairs whose Jaccard similarity is ``similar`` at least.
 
+    With ``fingerprints``, the classes of operator 3 (SimHash in pigeonhole blocks) are candidates beside those of the bands.
+
     Equal sets are one node, so copies never meet each other. Clusters are the connected components of the candidates; the
     sets of a cluster meet in one task, which decides all its pairs exactly and returns a link for each set and not for each
     pair. A cluster of more than ``PART`` sets or ``HASHES`` hashes is first thinned: its nodes are compared with some of
@@ -185,7 +196,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.select(row_key(docs).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = checkpointed(keyed.mapInPandas(sign, "row string, id long, node long, n long, print binary, keys array<long>"))
     nodes = checkpointed(signed.where(F.length("print") > 0).groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "print", "keys"))))
-    found = checkpointed(candidates(nodes.select("node", "keys")))
+    found = candidates(nodes.select("node", "keys"))
+    if fingerprints:
+        found = found.union(_fingerprint_heads(keyed, nodes))
+        found = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("firsts"))).alias("firsts"))
+    found = checkpointed(found)
 
     clusters = components(_cluster_edges(found)).withColumnRenamed("component", "cluster")
     clusters = clusters.union(clusters.select(F.col("cluster").alias("node"), "cluster").distinct())  # its smallest node too
