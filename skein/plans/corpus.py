@@ -238,9 +238,10 @@ def l_models(spark, d):
     """Both models and their fusion, trained on hash-split labelled documents, judged on the test part."""
     docs = t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = docs.join(t(spark, d, "labels").where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")
-    rows = learn.with_features(rows, "text").withColumn("split", curate.hash_split(F.col("doc_id").cast("string"))).withColumn("grams", learn.char_ngrams(F.col("text"), 4, 4))
-    rows = rows.repartition("doc_id").persist()  # both fits pass over it many times
-    train, test = rows.where("split <> 'test'"), rows.where("split = 'test'")
+    rows = learn.with_features(rows, "text").withColumn("split", curate.hash_split(F.col("doc_id").cast("string")))
+    rows = rows.persist()  # both fits pass over it; the n-grams, many times the text, are cut anew and neither shuffled nor kept
+    grams = learn.char_ngrams(F.col("text"), 4, 4)
+    train, test = (rows.where(part).withColumn("grams", grams) for part in ("split <> 'test'", "split = 'test'"))
     text, feats = learn.text_model(train, "label"), learn.feature_model(train.drop("grams", "text"), "label")
     done = learn.scored(feats, learn.scored(text, test, "by_text").drop("grams", "text"), "by_features").withColumn("fused", 0.3 * F.col("by_features") + 0.7 * F.col("by_text"))
     return learn.evaluate(done, "label", {"text": "by_text", "features": "by_features", "fused": "fused"})

@@ -3,6 +3,7 @@
 import os
 import re
 
+import pytest
 from compare import TABLES, connect, differences
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ import __spark_entry__ as entry
 from skein.functions import decode as D
 from skein.functions import features as X
 from skein.functions import normalize as N
-from skein.operators import training
+from skein.operators import learn, training
 from skein.plans import detection, organizing, requests
 
 
@@ -96,3 +97,12 @@ def test_short_values_are_dealt_over_the_cores(spark):
     """A small file is one task's; the values that the normaliser and the cascade read are not."""
     for values in (detection._names(spark, "/root/testdata/sf0.1"), requests._values(spark, "/root/testdata/sf0.1")):
         assert values.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_models_keep_texts_and_no_grams(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(learn, "text_model", lambda train, label: seen.append(train) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        entry.queries()["l_models"](spark, "/root/testdata/sf0.001")
+    kept = re.findall(r"InMemoryRelation \[(.*?)\]", seen[0]._jdf.queryExecution().withCachedData().toString())
+    assert "grams" in seen[0].columns and kept and "text#" in kept[0] and "grams" not in kept[0]
