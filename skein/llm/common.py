@@ -7,13 +7,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words everywhere in this package: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hot buckets up to this many are broadcast; a longer list is joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: Rows of a few numbers each in one task at least, where their number is known.
+TASK_ROWS = 20_000
+#: Bits of a filter for each of its keys, and in all at most (16 MB); bits in one of its rows; bits that a key sets.
+KEY_BITS, FILTER_BITS, ROW_BITS, SET_BITS = 16, 1 << 27, 1 << 15, 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +50,38 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def fitted(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` (counted by the caller) need: every task that shuffles writes files of its own, however few its rows."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def sifted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``key`` can be in the first column of ``keys``, and those whose ``key`` surely isn't; no row of ``df`` is shuffled.
+
+    A Bloom filter, each key within one of its rows, is broadcast: some 0.5 % of the other rows are taken for ones with a key, more where
+    the keys are so many that the filter is at its bound, so a join must follow. Null keys are in neither set of keys, and so surely aren't.
+    """
+    keys = checkpointed(keys.select(F.col(keys.columns[0]).alias("k")).where("k is not null"))
+    n, bits_wanted = 1, min(FILTER_BITS, KEY_BITS * keys.count())
+    while n * ROW_BITS < bits_wanted:
+        n *= 2
+
+    def places(k: Column) -> tuple[Column, list[Column]]:
+        more = F.xxhash64(F.lit(2), k)
+        return F.pmod(F.xxhash64(F.lit(1), k), F.lit(n)), [F.shiftrightunsigned(more, 15 * i).bitwiseAND(F.lit(ROW_BITS - 1)) for i in range(SET_BITS)]
+
+    at, bits = places(F.col("k"))
+    rows = keys.select(at.alias("_filter_at"), F.explode(F.array(*bits)).alias("bit")).repartition("_filter_at")
+    made = F.broadcast(rows.groupBy("_filter_at").agg(F.bitmap_construct_agg("bit").alias("_filter_bits")))
+    at, bits = places(key)
+    held = at == F.col("_filter_at")
+    for b in bits:
+        byte = F.conv(F.hex(F.substring(F.col("_filter_bits"), F.shiftright(b, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+        held &= F.getbit(byte, b.bitwiseAND(F.lit(7)).cast("int")) == 1
+    held &= key.isNotNull()
+    return df.join(made, held, "left_semi"), df.join(made, held, "left_anti")
+
+
 def by_runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Frames sorted by ``keys``, cut anew so that no run of equal keys is split."""
     rest = None
@@ -70,7 +106,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star contraction, so the number of rounds grows with the logarithm of the longest
     chain. Each step is a min-aggregate (combined before the shuffle) and an equi-join; nothing is collected but one
-    checksum per round. Null ends and self-links are ignored.
+    checksum per round. Each step has as many tasks as its links need, as they grow no more from round to round. Null ends and self-links
+    are ignored.
     """
     now = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -79,12 +116,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(now)
     while before[0]:
+        now, links = fitted(now, before[0]), before[0]
         both = now.union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = fitted(fitted(large, links).distinct(), links)
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpointed(kept.union(root.select("u", F.col("m").alias("v"))).distinct())
+        now = checkpointed(fitted(fitted(kept.union(root.select("u", F.col("m").alias("v"))), links).distinct(), links))
         after = state(now)
         if after == before:
             break

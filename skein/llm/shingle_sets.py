@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_runs, checkpointed, components, small, small_batches, starts
+from .common import by_runs, checkpointed, components, fitted, sifted, small, small_batches, starts
 from .simhash import bit_counts, near_duplicates
 
 #: 64-bit words of a fingerprint.
@@ -31,6 +31,8 @@ PART, SEND = 512, 256
 HASHES, STARS = 500_000, 3
 #: Standard deviations by which the distance of a similar pair may exceed its mean in a first comparison.
 SIGMAS = 4.5
+#: Sets in one task at least where their keys are dealt out.
+TASK_SETS = 4096
 #: Columns of a dense product at a time; hashes permuted at a time.
 COLUMNS, AT_ONCE = 4096, 1 << 16
 _RNG = np.random.default_rng(5)
@@ -196,19 +198,22 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.select(row_key(docs).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = checkpointed(keyed.mapInPandas(sign, "row string, id long, node long, n long, print binary, keys array<long>"))
     nodes = checkpointed(signed.where(F.length("print") > 0).groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "print", "keys"))))
-    found = candidates(nodes.select("node", "keys"))
+    number = nodes.count()
+    nodes = fitted(nodes, number, TASK_SETS)
+    found = fitted(candidates(nodes.select("node", "keys")), number)
     if fingerprints:
-        found = found.union(_fingerprint_heads(keyed, nodes))
+        found = found.union(fitted(_fingerprint_heads(keyed, nodes), number))
         found = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("firsts"))).alias("firsts"))
-    found = checkpointed(found)
+    found = checkpointed(fitted(found, number))
 
     clusters = components(_cluster_edges(found)).withColumnRenamed("component", "cluster")
     clusters = clusters.union(clusters.select(F.col("cluster").alias("node"), "cluster").distinct())  # its smallest node too
-    members = checkpointed(clusters.join(nodes.select("node", "row", "n"), "node"))
+    members = checkpointed(fitted(clusters.join(nodes.select("node", "row", "n"), "node"), number))
 
     def sets(of: DataFrame, columns: str) -> DataFrame:
-        """``of(node, row, ...)`` with the hashes of each node's set."""
-        texts = of.join(keyed.select("row", "text"), "row").dropDuplicates(["row"])
+        """``of(node, row, ...)`` with the hashes of each node's set. Only the texts of those rows, and few others, are shuffled."""
+        near, _ = sifted(keyed.select("row", "text"), F.col("row"), of.select("row"))
+        texts = of.join(near, "row").dropDuplicates(["row"])
         return texts.select(*columns.split(), "text").mapInPandas(cut, ", ".join(f"{c} long" for c in columns.split()) + ", hashes array<long>")
 
     def parts(of) -> Column:
@@ -288,6 +293,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each group of near copies: that of the smallest id, rows without an id last, and of
     equal ids that of the smallest row key. Each row is judged by its own text, whatever its id."""
     found = similar_sets(docs, id_col, text_col, **options)
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
-    kept = docs.withColumn("_row", row_key(docs)).join(first.select(F.col("first.row").alias("_row")), "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))["row"].alias("first"), F.count("*").alias("n"))
+    inside = checkpointed(found.join(first.where("n > 1"), "component").select("row", (F.col("row") != F.col("first")).alias("gone")))
+    gone = inside.where("gone").select(F.col("row").alias("_row")).distinct()
+    again = inside.where("not gone").groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("n")).where("n > 1").select("_row")
+    # rows that stay and have no equal stay where they are; only the others, and few taken for them, meet in a shuffle
+    near, rest = sifted(docs.withColumn("_row", row_key(docs)), F.col("_row"), gone.union(again))
+    return near.join(gone, "_row", "left_anti").dropDuplicates(["_row"]).select(*docs.columns).union(rest.select(*docs.columns))

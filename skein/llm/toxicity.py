@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small, small_batches
+from .common import checkpointed, sifted, small, small_batches
 
 #: Most labelled rows of each class that the lexicon is mined from, half as many as documents that the classifier is
 #: fitted on, and most lexicon entries.
@@ -362,11 +362,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose own text isn't called toxic, with or without an id, whatever other rows share that id; in their columns.
 
-    A verdict depends on the text alone, so it is handed back by 128 bits of hash of the text: equal texts go or stay together. Few
-    toxic texts are broadcast (their number is checked), and then no text is shuffled.
+    A verdict depends on the text alone, so it is handed back by 128 bits of hash of the text: equal texts go or stay together. Texts that
+    can't be toxic stay where they are, by a filter of the toxic ones; only the others are joined.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text)).cast("struct<a: bigint, b: bigint>")
     toxic = score_toxicity(docs, labels, id_col, text_col, carry={"a": key["a"], "b": key["b"]}, **options).where("predicted = 1").select(F.col("a").alias("_toxic_a"), F.col("b").alias("_toxic_b")).distinct()
     toxic = checkpointed(toxic)
-    return docs.join(small(toxic, toxic.count()), (key["a"] == F.col("_toxic_a")) & (key["b"] == F.col("_toxic_b")), "left_anti")
+    near, rest = sifted(docs, key["a"], toxic.select("_toxic_a"))
+    return near.join(small(toxic, toxic.count()), (key["a"] == F.col("_toxic_a")) & (key["b"] == F.col("_toxic_b")), "left_anti").union(rest)
