@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,13 @@ def small_batches(df: DataFrame) -> None:
         df.sparkSession.conf.set(key, "2048")
 
 
+def give_back() -> None:
+    """Hands memory that Arrow's pool and the C library keep for later back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lower_ascii(column):
     """Lower-cases A-Z only, unlike ``lower``."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

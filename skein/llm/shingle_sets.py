@@ -197,7 +197,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keyed = docs.select(row_key(docs).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = checkpointed(keyed.mapInPandas(sign, "row string, id long, node long, n long, print binary, keys array<long>"))
-    nodes = checkpointed(signed.where(F.length("print") > 0).groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "print", "keys"))))
+    nodes = signed.where(F.length("print") > 0).groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "print", "keys")))
+    nodes = checkpointed(fitted(nodes, signed.count(), TASK_SETS))
     number = nodes.count()
     nodes = fitted(nodes, number, TASK_SETS)
     found = fitted(candidates(nodes.select("node", "keys")), number)
@@ -219,14 +220,14 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def parts(of) -> Column:
         return F.ceil(F.greatest(F.count(of) / PART, F.sum(of) / HASHES))
 
-    large = checkpointed(members.groupBy("cluster").agg(parts(F.col("n")).alias("parts")).where("parts > 1").select("cluster"))
+    large = checkpointed(fitted(members.groupBy("cluster").agg(parts(F.col("n")).alias("parts")).where("parts > 1").select("cluster"), number))
     many = large.count()
     dealt = sets(members.join(small(large, many), "cluster", "left_anti"), "node cluster").select("cluster", "node", "hashes", *(F.lit(0).cast("long").alias(c) for c in ("lo", "hi")))
     links = None
     if many:
         inside = members.join(small(large, many), "cluster", "left_semi")
-        inside_sets = checkpointed(sets(inside, "node"))
-        links = checkpointed(_star_links(found.join(inside.select("node"), "node", "left_semi"), nodes, inside_sets, similar))
+        inside_sets = checkpointed(fitted(sets(inside, "node"), number, TASK_SETS))
+        links = checkpointed(fitted(_star_links(found.join(inside.select("node"), "node", "left_semi"), nodes, inside_sets, similar), number, TASK_SETS))
         met = _dealt(inside, components(links), parts).join(inside_sets, "node")
         dealt = dealt.union(met.select(*dealt.columns))
 
@@ -275,7 +276,8 @@ def _dealt(inside: DataFrame, group: DataFrame, parts: Callable) -> DataFrame:
     sizes = own.groupBy("cluster", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("size", "component"))["component"].alias("main"))
     many = main.count()
-    own = checkpointed(own.join(small(main, many), "cluster").select("cluster", "node", "n", (F.col("component") != F.col("main")).alias("loose")))
+    own = own.join(small(main, many), "cluster").select("cluster", "node", "n", (F.col("component") != F.col("main")).alias("loose"))
+    own = checkpointed(fitted(own, inside.count()))
     count = own.groupBy("cluster").agg(*(parts(F.when(c, F.col("n"))).alias(name) for name, c in (("p", ~F.col("loose")), ("q", F.col("loose")))))
     own = own.join(small(count.where("q > 0"), many), "cluster")
     hashed = F.xxhash64("node")
@@ -294,9 +296,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal ids that of the smallest row key. Each row is judged by its own text, whatever its id."""
     found = similar_sets(docs, id_col, text_col, **options)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))["row"].alias("first"), F.count("*").alias("n"))
-    inside = checkpointed(found.join(first.where("n > 1"), "component").select("row", (F.col("row") != F.col("first")).alias("gone")))
+    rows = docs.count()
+    inside = checkpointed(fitted(found.join(first.where("n > 1"), "component").select("row", (F.col("row") != F.col("first")).alias("gone")), rows))
     gone = inside.where("gone").select(F.col("row").alias("_row")).distinct()
     again = inside.where("not gone").groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("n")).where("n > 1").select("_row")
     # rows that stay and have no equal stay where they are; only the others, and few taken for them, meet in a shuffle
-    near, rest = sifted(docs.withColumn("_row", row_key(docs)), F.col("_row"), gone.union(again))
+    near, rest = sifted(docs.withColumn("_row", row_key(docs)), F.col("_row"), fitted(gone.union(again), rows))
     return near.join(gone, "_row", "left_anti").dropDuplicates(["_row"]).select(*docs.columns).union(rest.select(*docs.columns))

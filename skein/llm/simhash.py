@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_links, checkpointed, components, small_batches
+from .common import bucket_links, checkpointed, components, fitted, small_batches
 
 #: Shingles hashed at a time, so that very long texts need bounded memory.
 STEP = 65_536
@@ -86,7 +86,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     prints = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp binary")
     prints = checkpointed(prints)
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("class")))
+    classes = checkpointed(fitted(prints.groupBy("fp").agg(F.min("id").alias("class")), prints.count()))
 
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 SPACE = "▁"
 #: Words longer than this are relaxed with a heap, one by one; characters per suffix array; words in each of a worker's
@@ -190,6 +190,10 @@ class Pieces:
                 ids = chain.from_iterable([x] if x >= 0 else self.byte_ids[list(part[k][i].encode("utf-8", "replace"))].tolist() for x, i in zip(piece[s].tolist(), (start[s] - begin[k]).tolist()))
                 self.cache[part[k]] = np.fromiter(ids, np.int32).tobytes()
 
+    def forget(self) -> None:
+        """Lets the known words go."""
+        self.cache, self.old = {}, {}
+
     def parts(self, text: np.ndarray) -> np.ndarray:
         """Numbers of the stretches that join inside only: two neighbours that stand together in no piece part them, as
         do the ends of words."""
@@ -268,18 +272,22 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     Null and empty texts have no ids and round-trip to the empty text; null ids and repeated rows stay as they are; an
     empty table gives an empty one. A text without spaces is one word, whose tables take some 250 bytes a character while
-    it is encoded.
+    it is encoded. Words are known to a task only: a worker goes on to other tasks and stages, and keeps none.
     """
     small_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(path)
-        for frame in frames:
-            for i in range(0, len(frame), rows):
-                part = frame.iloc[i : i + rows]
-                ids = p.encode(list(part["text"]))
-                yield pd.DataFrame({"id": part["id"], "ids": ids, "round_trip": [x == t for x, t in zip(p.decode_texts(ids), part["text"])]})
+        try:
+            for frame in frames:
+                for i in range(0, len(frame), rows):
+                    part = frame.iloc[i : i + rows]
+                    ids = p.encode(list(part["text"]))
+                    yield pd.DataFrame({"id": part["id"], "ids": ids, "round_trip": [x == t for x, t in zip(p.decode_texts(ids), part["text"])]})
+        finally:
+            p.forget()
+            give_back()
 
     done = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, f"id {kind}, ids array<int>, round_trip boolean")
     return done.select(F.col("id").alias(id_col), "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip")
