@@ -23,6 +23,8 @@ DIMS, BITS = 8, 7
 #: evenly need wide windows for a recall of 0.9 (measured in the README); clustered ones much narrower.
 CURVES, SHARE = 4, 0.5
 BLOCK, QUERIES = 2048, 1000
+#: Entries of the vectors whose exact distances are taken at once; equal vectors can make many.
+PIECE = 1 << 21
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -63,9 +65,11 @@ def projections(dim: int, curves: int, seed: int) -> tuple[np.ndarray, np.ndarra
 
 
 def nearest(base: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest base rows of each query by exact distance, ties to the smaller id, the query's own id left out."""
+    """The k nearest base rows of each query by exact distance, ties to the smaller id, the query's own id left out; none where a side has no rows."""
+    if not len(base) or not len(queries):
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     b, ids, out = matrix(base["v"]), base["id"].to_numpy(), []
-    norm = (b * b).sum(1)
+    norm, pairs = (b * b).sum(1), max(1, PIECE // b.shape[1])
     for at in range(0, len(queries), 256):
         part = queries.iloc[at : at + 256]
         q, own = matrix(part["v"]), part["id"].to_numpy()
@@ -73,12 +77,13 @@ def nearest(base: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
         rough[own[:, None] == ids[None, :]] = np.inf
         top = min(k, rough.shape[1]) - 1
         limit = np.partition(rough, top, axis=1)[:, top] + 1e-9 * (1 + np.abs(norm).max())
-        for r in range(len(part)):
-            c = np.flatnonzero((rough[r] <= limit[r]) & np.isfinite(rough[r]))
-            d = np.sqrt(((b[c] - q[r]) ** 2).sum(1))
-            o = np.lexsort((ids[c], d))[:k]
-            out.append(pd.DataFrame({"query_id": own[r], "vec_id": ids[c][o], "score": d[o]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        r, c = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+        d = np.concatenate([np.sqrt(((b[c[i : i + pairs]] - q[r[i : i + pairs]]) ** 2).sum(1)) for i in range(0, max(1, len(r)), pairs)])
+        o = np.lexsort((ids[c], d, r))
+        r, c, d = r[o], c[o], d[o]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k  # by the place in the query's own run
+        out.append(pd.DataFrame({"query_id": own[r[first]], "vec_id": ids[c[first]], "score": d[first]}))
+    return pd.concat(out, ignore_index=True)
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, share: float = SHARE, block: int = BLOCK, queries: int = QUERIES, seed: int = 9) -> DataFrame:
@@ -129,7 +134,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     b = F.floor(F.col("rank") / block)
     base = ranked.withColumn("block", b).select("curve", "id", "v", "block", F.explode(F.sequence(clip(F.floor((b * block - wide) / step)), clip(F.floor(((b + 1) * block + wide) / step)))).alias("chunk"))
     asked = ranked.where("q").select("curve", "id", "v", F.floor(F.col("rank") / step).alias("chunk"), F.explode(F.sequence(bounded((F.col("rank") - wide) / block), bounded((F.col("rank") + wide) / block))).alias("block")).toDF("q_curve", "id", "v", "q_chunk", "q_block")
-    found = base.groupBy("curve", "block", "chunk").cogroup(asked.groupBy("q_curve", "q_block", "q_chunk")).applyInPandas(lambda x, y: nearest(x, y, k) if len(x) and len(y) else nearest(x.iloc[:0], y.iloc[:0], k), "query_id long, vec_id long, score double")
+    found = base.groupBy("curve", "block", "chunk").cogroup(asked.groupBy("q_curve", "q_block", "q_chunk")).applyInPandas(lambda x, y: nearest(x, y, k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from public_tokenizers import path
@@ -290,6 +291,29 @@ def test_nearest_neighbours(spark, data):
     assert hilbert_ann.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_nearest_neighbours_where_groups_have_no_queries(spark, data):
+    e = common.table(spark, data, "embeddings").select("vec_id", "embedding").where("vec_id < 300")
+    df = e.union(e.select(F.col("vec_id") + 300, "embedding"))  # copies of queries are queries: long runs of ranks have none
+    got = rows(hilbert_ann.search(df, F.col("vec_id") % 100 == 0, share=2.0, block=16, queries=1))
+    base = dict(rows(df))
+    x, ids, want = np.array(list(base.values()), float), np.array(list(base)), []
+    for q in range(0, 600, 100):
+        d = np.sqrt(((x - np.array(base[q], float)) ** 2).sum(1))
+        near = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        want += [(q, n, ids[i], d[i]) for n, i in enumerate(near, 1)]
+    assert [r[:3] for r in sorted(got)] == [w[:3] for w in want] and all(abs(r[3] - w[3]) < 1e-12 for r, w in zip(sorted(got), want))
+    narrow = rows(hilbert_ann.search(df, F.col("vec_id") % 100 == 0, share=0.2, block=16, queries=1))
+    assert {r[:2] for r in narrow} == {w[:2] for w in want}
+
+
+def test_nearest_of_equal_vectors_in_pieces(monkeypatch):
+    frame = pd.DataFrame({"id": [7, 3, 9, 1, 5], "v": [[1.0, 2.0]] * 4 + [[1.0, 3.0]]})
+    monkeypatch.setattr(hilbert_ann, "PIECE", 4)
+    got = hilbert_ann.nearest(frame, frame.iloc[:2], 3)
+    assert [tuple(r) for r in got.itertuples(index=False)] == [(7, 1, 0.0), (7, 3, 0.0), (7, 9, 0.0), (3, 1, 0.0), (3, 7, 0.0), (3, 9, 0.0)]
+    assert len(hilbert_ann.nearest(frame.iloc[:1], frame.iloc[:1], 3)) == len(hilbert_ann.nearest(frame[:0], frame, 3)) == len(hilbert_ann.nearest(frame, frame[:0], 3)) == 0
+
+
 def test_hilbert_is_a_curve():
     cells = np.array(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1).T
     key = hilbert_ann.hilbert(cells, 3)
