@@ -50,10 +50,10 @@ def text_features(c: Column) -> dict[str, Column]:
 
 
 def entropy(df: DataFrame, key: str, parts: Column, name: str) -> DataFrame:
-    """(key, name): entropy in bits over the parts of each row; rows without parts have none.
+    """(key, name): entropy in bits over the parts of each row; rows without parts have none, and an empty string, which ``split`` makes of an empty text, is no part.
 
     Parts are counted before the shuffle; every key then holds one row per distinct part."""
-    counts = df.select(key, F.explode(parts).alias("part")).groupBy(key, "part").agg(F.count("*").alias("n"))
+    counts = df.select(key, F.explode(parts).alias("part")).where("part != ''").groupBy(key, "part").agg(F.count("*").alias("n"))
     sums = counts.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     return sums.select(key, F.round(F.log2("total") - F.col("s") / F.col("total"), 6).alias(name))
 

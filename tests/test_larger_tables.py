@@ -51,6 +51,12 @@ def test_short_and_missing_texts_come_back(spark, tmp_path):
         assert twin(spark, f"{tmp_path}/{name}", name, documents=docs) is None
 
 
+def test_empty_texts_have_no_entropy(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "e"), (4, " \u00e9\U0001f600\x00\n"), (5, ""), (5, "seven"), (None, ""), (None, "no id"), (6, "; ,"), (7, "A b a b")], "doc_id long, text string")
+    for name in ("f_shannon_entropy", "f_token_entropy"):
+        assert twin(spark, f"{tmp_path}/{name}", name, documents=docs) is None
+
+
 def test_clients_whose_number_fits_no_group(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     many = events.union(events.withColumn("user_id", F.col("user_id") + 65_530)).union(events.withColumn("user_id", F.col("user_id") + 9_000_000))
